@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, packing, quality, secret_scan, url_filter
+from tessera.llm import mixing, near_dedup, packing, quality, secret_scan, url_filter
 from tessera.llm._common import table
 
 
@@ -37,5 +37,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_url_filter, op3_quality, op4_secret_scan, op8_mixing)}
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_url_filter, op3_quality, op4_secret_scan, op8_mixing, op9_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
