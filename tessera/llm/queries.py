@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, near_dedup, packing, quality, secret_scan, url_filter
+from tessera.llm import chat_format, html_text, language_id, mixing, near_dedup, neighbours, packing, quality, secret_scan, url_filter
 from tessera.llm._common import table
 
 
@@ -32,6 +32,24 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in secret_scan.KINDS[:3]], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    docs = docs.withColumn("held_out", F.coalesce(fold == 2, F.lit(False)))
+    return language_id.identify(docs, fold != 2, keep=["held_out"]).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.lit("\\### Assistant: </turn> ok")
+    more = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    return chat_format.read_back(chat_format.windows(turns, public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -41,5 +59,9 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_url_filter, op3_quality, op4_secret_scan, op8_mixing, op9_near_dedup)}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_url_filter, op3_quality, op4_secret_scan, op5_language_id, op6_chat_format, op7_neighbours, op8_mixing, op9_near_dedup, op10_html_text)}
 ORACLE_SQL: dict[str, str] = {}
