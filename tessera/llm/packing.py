@@ -18,11 +18,12 @@ from __future__ import annotations
 
 import os
 from bisect import bisect_right
-from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,15 +32,15 @@ from tessera.llm._common import checkpointed, slices, words_of
 
 #: More sources than this share queues by hash; so the plan of windows is small whatever the data.
 MAX_QUEUES = 1024
-#: Words whose ids a Python worker remembers.
-CACHE_WORDS = 300_000
+#: Words whose ids a Python worker remembers, in arrays (about 30 bytes a word), and bytes of text encoded at once.
+CACHE_WORDS, ENCODE_BYTES = 4_000_000, 16 << 20
 _loaded: dict[str, "WordTokenizer"] = {}
 
 
 class WordTokenizer:
     """Ids of texts by a tokenizers file whose normalizer and pre-tokenizer never look across white space.
 
-    Each distinct word of a batch is encoded once; frequent ones are remembered.
+    Each distinct word is encoded once and remembered; when there are too many, all are forgotten.
     """
 
     def __init__(self, path: str):
@@ -48,7 +49,29 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: OrderedDict[str, np.ndarray] = OrderedDict()
+        self.forget()
+
+    def forget(self) -> None:
+        self.words = pa.array([], pa.large_string())
+        self.begin, self.ids = np.zeros(1, np.int64), np.empty(0, self.dtype)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where self.begin has the words, of which new ones are encoded."""
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(at))
+        if not len(new):
+            return at.to_numpy(zero_copy_only=False)
+        if len(self.words) + len(new) > CACHE_WORDS and len(self.words):
+            self.forget()
+            return self.places(words)
+        own = [e.ids for e in self.tokenizer.encode_batch_fast(new.to_pylist(), add_special_tokens=False)]
+        known = len(self.words)
+        self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))))
+        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(own), self.dtype)))
+        self.words = pa.concat_arrays([self.words, new])
+        out = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        out[pc.is_null(at).to_numpy(zero_copy_only=False)] = known + np.arange(len(new))
+        return out
 
     @classmethod
     def load(cls, path: str) -> "WordTokenizer":
@@ -62,20 +85,10 @@ class WordTokenizer:
         if not len(flat):
             return np.empty(0, self.dtype), np.zeros(len(starts), np.int64)
         coded = flat.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        known = self.known
-        new = [w for w in words if w not in known]
-        fresh = dict(zip(new, (np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True)) if new else {}
-        own = [fresh[w] if w in fresh else known[w] for w in words]
-        for w in new[: max(0, CACHE_WORDS - len(known))]:
-            known[w] = fresh[w]
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        begin = np.concatenate(([0], np.cumsum(sizes)))
-        bag = np.concatenate(own) if begin[-1] else np.empty(0, self.dtype)
-        index = coded.indices.to_numpy()
-        n = sizes[index]
+        place = self.places(coded.dictionary)[coded.indices.to_numpy()]
+        n = np.diff(self.begin)[place]
         ends = np.concatenate(([0], np.cumsum(n)))
-        ids = bag[np.repeat(begin[index] - ends[:-1], n) + np.arange(ends[-1])]
+        ids = self.ids[np.repeat(self.begin[place] - ends[:-1], n) + np.arange(ends[-1])]
         return ids, ends[starts]
 
 
@@ -179,7 +192,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
     def tokenize(batches):
         own, part, served = WordTokenizer.load(tokenizer_path), TaskContext.get().partitionId(), {}
         for batch in batches:
-            for b in slices(batch):
+            for b in slices(batch, most=ENCODE_BYTES):
                 ids, at = own.encode(b.column("text"))
                 n = np.diff(at) + 1
                 places = np.empty(b.num_rows, np.int64)
