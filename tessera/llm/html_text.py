@@ -4,8 +4,8 @@ A page's elements are grouped by style: the tags and classes from the root of it
 the pages of a host gives each style the contents and the presentations (its children's styles)
 that it takes there. A style's importance is the entropy of these over the host's different
 pages, as a share of the most it could be: what is the same on
-every page has none. Branches below the least importance are removed from each page,
-as are those whose tag or class says that they are no part of an article.
+every page has none. The text of styles below the least importance is removed from each page,
+as are branches whose tag or class says that they are no part of an article.
 
 Two passes read the pages; between them only hashes are shuffled, by host and style.
 """
@@ -144,9 +144,6 @@ def walk(roots: list[Node], removed: frozenset[int], put) -> None:
                 put(above, None)
                 continue
             path = xxhash.xxh64_intdigest(f"{above if inside else ''}>{x.style}") - (1 << 63)
-            if path in removed:
-                put(path, None)
-                continue
             edge = x.tag in BLOCKS or not inside
             if edge:
                 put(path, None)
@@ -155,7 +152,7 @@ def walk(roots: list[Node], removed: frozenset[int], put) -> None:
             stack.extend((c, path) for c in reversed(x.children))
         elif x is None:
             put(above, None)
-        else:
+        elif above not in removed:
             put(above, x)
 
 
@@ -178,7 +175,7 @@ def blocks_of(roots: list[Node], removed: frozenset[int] = frozenset()) -> str:
 
 
 def styles_of(roots: list[Node]) -> list[tuple[int, int, int]]:
-    """(path, hash of its content, hash of its presentation) of each style in the page."""
+    """(path, hash of its content, hash of its presentation) of each style in the page that has text of its own."""
     texts: dict[int, list[str]] = {}
     shapes: dict[int, list[str]] = {}
 
@@ -186,12 +183,12 @@ def styles_of(roots: list[Node]) -> list[tuple[int, int, int]]:
         if isinstance(x, str):
             texts.setdefault(path, []).append(x)
         elif x is not None:
-            texts.setdefault(path, [])
             shapes.setdefault(path, []).extend(c.style for c in x.children if isinstance(c, Node))
 
     walk(roots, frozenset(), put)
     digest = lambda x: xxhash.xxh64_intdigest(x) - (1 << 63)
-    return [(p, digest(" ".join("".join(t).split())), digest("\n".join(shapes.get(p, ())))) for p, t in texts.items() if p is not None]
+    own = {p: " ".join("".join(t).split()) for p, t in texts.items()}
+    return [(p, digest(t), digest("\n".join(shapes.get(p, ())))) for p, t in own.items() if t]
 
 
 def host_of(url: str | None) -> str:
