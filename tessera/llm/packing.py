@@ -32,8 +32,8 @@ from tessera.llm._common import checkpointed, slices, words_of
 
 #: More sources than this share queues by hash; so the plan of windows is small whatever the data.
 MAX_QUEUES = 1024
-#: Words whose ids a Python worker remembers, in arrays (about 30 bytes a word), and bytes of text encoded at once.
-CACHE_WORDS, ENCODE_BYTES = 4_000_000, 16 << 20
+#: Words whose ids a Python worker remembers, in arrays (about 30 bytes a word), bytes of text and new words encoded at once.
+CACHE_WORDS, ENCODE_BYTES, ENCODE_WORDS = 1_500_000, 8 << 20, 8192
 _loaded: dict[str, "WordTokenizer"] = {}
 
 
@@ -64,10 +64,13 @@ class WordTokenizer:
         if len(self.words) + len(new) > CACHE_WORDS and len(self.words):
             self.forget()
             return self.places(words)
-        own = [e.ids for e in self.tokenizer.encode_batch_fast(new.to_pylist(), add_special_tokens=False)]
-        known = len(self.words)
-        self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))))
-        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(own), self.dtype)))
+        known, sizes, ids = len(self.words), [], []
+        for i in range(0, len(new), ENCODE_WORDS):
+            own = [e.ids for e in self.tokenizer.encode_batch_fast(new.slice(i, ENCODE_WORDS).to_pylist(), add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, own), np.int64, len(own)))
+            ids.append(np.fromiter(chain.from_iterable(own), self.dtype))
+        self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(np.concatenate(sizes))))
+        self.ids = np.concatenate((self.ids, *ids))
         self.words = pa.concat_arrays([self.words, new])
         out = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
         out[pc.is_null(at).to_numpy(zero_copy_only=False)] = known + np.arange(len(new))
