@@ -49,6 +49,15 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
             yield batch.slice(a, b - a)
 
 
+def lowered(texts: pa.Array) -> pa.Array:
+    """A-Z in lower case; null as empty. (pyarrow's ascii_lower misreads arrays that begin inside a buffer.)"""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer((ends - ends[0]).astype(np.int64)), pa.py_buffer(data.tobytes()))
+
+
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts in order, and where each text's words begin (one more entry than texts). Null: no words."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import checkpointed, mix64, slices, window_hashes, word_hashes, words_of
+from tessera.llm._common import checkpointed, lowered, mix64, slices, window_hashes, word_hashes, words_of
 from tessera.llm.components import connected
 
 SHINGLE, SIMILARITY = 3, 0.85
@@ -40,15 +40,9 @@ BITMAP = 1 << 23
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _lowered(texts: pa.Array) -> pa.Array:
-    import pyarrow.compute as pc
-
-    return pc.ascii_lower(texts.cast(pa.large_string()))
-
-
 def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts in order, and where each text's begin. Texts of fewer words have one shingle: all of them."""
-    flat, starts = words_of(_lowered(texts))
+    flat, starts = words_of(lowered(texts))
     words, size = word_hashes(flat), np.diff(starts)
     hashes, of = window_hashes(words, starts, n)
     for k in range(1, n):
