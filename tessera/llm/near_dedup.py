@@ -10,8 +10,9 @@
 3. Postings are merged star by star: members meet one pivot, pairs that a
    longer signature says are far apart go, and the others are confirmed on the full sets. After
    each merging, postings whose members are all one component are skipped, and
-   so are pairs of one component. The last merging meets all pairs
-   of members still in different components, so no link between components is lost.
+   so are pairs of one component. The last merging compares all members still in
+   different components, block by block in the tasks' memory, and hands on the closest pair
+   of each member and component, so no link between components is lost and no group's pairs are written.
 4. Components of the confirmed links, by stars, in checkpointed rounds.
 
 The tasks see postings by key and pairs by id; nothing is gathered by
@@ -34,7 +35,9 @@ SIGNATURE, MATCHES = 64, 40
 #: One-byte coordinates of the longer signature, and how many a pair must share before its sets are compared (five standard deviations below 0.85).
 LONG, LONG_MATCHES = 256, 189
 #: Mergings with pivots before the last one.
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 3
+#: Members of a posting that are compared with each other in one task.
+BLOCK = 2048
 #: Bits of the bitmap of ids whose sets are needed; ids beyond what it can tell apart only cost time.
 BITMAP = 1 << 23
 _SEED = np.uint64(0x9E3779B97F4A7C15)
@@ -100,8 +103,8 @@ def postings(classes: DataFrame) -> DataFrame:
     return checkpointed(prefix.join(meet, "key").select("key", "id", "n"))
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, long, set) of the documents with those ids: the longer signature and the sorted shingle hashes, as bytes."""
+def sets_of(docs: DataFrame, ids: DataFrame, repeated: bool) -> DataFrame:
+    """(id, long, set) of the documents with those ids: the longer signature as bytes, and the sorted shingle hashes. repeated: an id may have several rows."""
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP))
     bits = ids.select(slot("id").alias("s")).distinct().select(F.shiftright("s", 15).alias("bucket"), (F.col("s") % 32768).alias("bit"))
     bitmap = np.zeros((BITMAP >> 15, 4096), np.uint8)
@@ -117,16 +120,17 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 hashes, starts = shingle_sets(b.column("text"))
                 some = np.flatnonzero(np.diff(starts))
                 long = minima(hashes, starts, LONG).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(some)), pa.array([x.tobytes() for x in long], pa.binary()), pa.array([hashes[starts[i] : starts[i + 1]].tobytes() for i in some], pa.binary())], ["id", "long", "set"])
+                ends = np.concatenate((starts[:-1][some], starts[-1:])).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(some)), pa.array([x.tobytes() for x in long], pa.binary()), pa.ListArray.from_arrays(ends, hashes.view(np.int64))], ["id", "long", "set"])
 
-    found = docs.select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(sets, f"id {docs.schema['doc_id'].dataType.simpleString()}, long binary, set binary")
-    return checkpointed(found.join(ids, "id", "left_semi").distinct())
+    found = docs.select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(sets, f"id {docs.schema['doc_id'].dataType.simpleString()}, long binary, set array<bigint>").join(ids, "id", "left_semi")
+    return checkpointed(found.dropDuplicates(["id", "long"]) if repeated else found)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
 
-    def near(batches):
+    def alike(batches):
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, LONG) for c in ("long_a", "long_b"))
@@ -136,38 +140,118 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def same(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                keep.append(100 * both >= percent * ((len(x) + len(y)) // 8 - both))
+            (a, i), (b, k) = ((c.flatten().to_numpy(), c.offsets.to_numpy() - c.offsets[0].as_py()) for c in (batch.column("set_a"), batch.column("set_b")))
+            for r in range(batch.num_rows):
+                x, y = a[i[r] : i[r + 1]], b[k[r] : k[r + 1]]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    for column, keep in (("long", near), ("set", same)):
+    for column, keep in (("long", alike), ("set", same)):
         left, right = (sets.select(F.col("id").alias(c), F.col(column).alias(f"{column}_{c}")) for c in "ab")
         pairs = pairs.join(left, "a").join(right, "b").mapInArrow(keep, f"a {kind}, b {kind}").distinct()
     return pairs
 
 
+def with_pivots(rows: DataFrame, merging: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of the members of each key with one of them, if they are in different components and no set is too large for the other."""
+    others = F.struct(F.col("id").alias("other"), F.col("component").alias("of"), F.col("n").alias("n_other"))
+    pivots = rows.groupBy("key").agg(F.min_by(others, F.xxhash64("id", "key", F.lit(merging))).alias("p")).select("key", "p.*")
+    met = rows.join(pivots, "key").where("component <> of").where(F.least("n", "n_other") * 100 >= F.greatest("n", "n_other") * percent)
+    return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the components that share a key: for each member the closest one of every other component, if close enough.
+
+    In every key one component is the largest; its members need not meet each
+    other. All other pairs are compared, each in the first key that they share. A key with
+    more than BLOCK members is dealt out as pairs of blocks. Pairs live in the tasks' memory only.
+    """
+    sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
+    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("members", "component")).alias("largest"), F.ceil(F.sum("members") / BLOCK).alias("blocks"))
+    own = rows.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # a prefix at most
+    # half of the hashes' bits will do: links that are found are confirmed on the sets
+    half = sets.select("id", F.size("set").alias("size"), "long", F.transform("set", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("half"))
+    members = rows.join(largest, "key").join(half.join(own, "id"), "id")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    units = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = units.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", (F.col("component") != F.col("largest")).alias("lone"), "size", "long", "half", "keys")
+    dealt = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def compare(unit: pa.Table) -> list[tuple]:
+        key, apart = unit["key"][0].as_py(), unit["i"][0].as_py() != unit["j"][0].as_py()
+        ids, keys = unit["id"].to_pylist(), unit["keys"].to_pylist()
+        block, lone, size = (unit[c].to_numpy() for c in ("block", "lone", "size"))
+        component = np.unique(np.array(unit["component"].to_pylist(), object).astype(str), return_inverse=True)[1]
+        long = np.frombuffer(b"".join(unit["long"].to_pylist()), np.uint8).reshape(-1, LONG)
+        half, ends = pa.concat_arrays([c.flatten() for c in unit["half"].chunks]).to_numpy(), np.concatenate(([0], np.cumsum(size)))
+        with_key: dict[int, list[int]] = {}
+        for r, own in enumerate(keys):
+            for k in own:
+                if k < key:
+                    with_key.setdefault(k, []).append(r)
+        out = []
+        for y in np.flatnonzero(lone):
+            fit = (component != component[y]) & (100 * np.minimum(size, size[y]) >= percent * np.maximum(size, size[y]))
+            fit &= ~lone | (np.arange(len(ids)) > y)  # two lone ones meet once
+            if apart:
+                fit &= block != block[y]
+            for k in keys[y]:
+                if k < key:  # they have met there
+                    fit[with_key[k]] = False
+            near = np.flatnonzero(fit)
+            if not len(near):
+                continue
+            same = (long[near] == long[y]).sum(axis=1)
+            seen: set[int] = set()
+            mine = half[ends[y] : ends[y + 1]]
+            for o in np.argsort(-same, kind="stable"):
+                if same[o] < LONG_MATCHES:
+                    break
+                x = near[o]
+                if component[x] in seen:
+                    continue
+                both = np.isin(half[ends[x] : ends[x + 1]], mine).sum()
+                if (100 + percent) * both >= percent * (size[x] + size[y]):
+                    seen.add(component[x])
+                    out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        return out
+
+    def run(batches):
+        rest, arrow = None, None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            arrow = batch.schema.field("id").type
+            now = pa.concat_tables([rest, now]) if rest is not None else now
+            marks = np.stack([now[c].to_numpy() for c in ("key", "i", "j")], axis=1)
+            cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
+            found = []
+            for a, b in zip([0, *cuts], cuts, strict=False):
+                if b - a > 1:
+                    found += compare(now.slice(a, b - a).combine_chunks())
+            rest = now.slice(cuts[-1] if len(cuts) else 0)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, arrow) for x in zip(*found, strict=True)], ["a", "b"])
+        if rest is not None and rest.num_rows > 1 and (found := compare(rest.combine_chunks())):
+            yield pa.RecordBatch.from_arrays([pa.array(x, arrow) for x in zip(*found, strict=True)], ["a", "b"])
+
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
 def links(posted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(id, component) of the ids with confirmed links."""
-    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    # no set is larger than 100 / percent of one it is similar to
-    sizes = F.least("n", "n_other") * 100 >= F.greatest("n", "n_other") * percent
     known = None
     for merging in range(PIVOT_ROUNDS + 1):
-        rows = posted
+        rows = posted.withColumn("component", F.col("id"))
         if known is not None:
             rows = posted.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
             mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
             rows = checkpointed(rows.join(mixed, "key"))
-        else:
-            rows = rows.withColumn("component", F.col("id"))
-        if merging < PIVOT_ROUNDS:
-            pivots = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(merging)).alias("h"), "id", "component", "n")).alias("p")).select("key", F.col("p.id").alias("other"), F.col("p.component").alias("of"), F.col("p.n").alias("n_other"))
-        else:
-            pivots = rows.select("key", F.col("id").alias("other"), F.col("component").alias("of"), F.col("n").alias("n_other"))
-        met = rows.join(pivots, (rows["key"] == pivots["key"]) & (F.col("component") != F.col("of")) & (F.col("id") != F.col("other")) & sizes & (F.lit(True) if merging < PIVOT_ROUNDS else F.col("id") < F.col("other")))
-        edges = confirmed(met.select(*pair("id", "other")).distinct(), sets, percent)
+        pairs = with_pivots(rows, merging, percent) if merging < PIVOT_ROUNDS else across(rows, sets, percent)
+        edges = confirmed(pairs, sets, percent)
         if known is not None:
             edges = edges.union(known.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")))
         known = connected(edges)
@@ -188,10 +272,12 @@ def groups(docs: DataFrame, percent: int = round(100 * SIMILARITY), id_column: s
     some = signed.where("n_shingles > 0 and doc_id is not null")
     digest = ["d1", "d2", "n_shingles"]
     firsts = some.groupBy(*digest).agg(F.min("doc_id").alias("first"))
-    members = checkpointed(some.select("doc_id", *digest).join(firsts, digest).select("doc_id", "first").distinct())
+    members = checkpointed(some.select("doc_id", *digest).join(firsts, digest).select("doc_id", "first"))
     classes = signed.join(firsts, digest).where("doc_id = first").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "keys").dropDuplicates(["id", "n"])
     posted = postings(classes)
-    near = links(posted, sets_of(slim, posted.select("id").distinct()), percent)
+    repeated = not members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    sets = sets_of(slim, posted.select("id").distinct(), repeated)
+    near = links(posted, sets, percent)
     # an id with several texts is in several classes, so classes link through it as well
     several = members.groupBy("doc_id").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low <> high").select("doc_id")
     bridges = members.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
