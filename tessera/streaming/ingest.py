@@ -102,12 +102,14 @@ def ingest(stream: DataFrame, target: Target, checkpoint: str, dead_letters: str
         if dead_letters is None:
             put(process(good) if process else good)
             return
+        batch.persist()  # read once for good rows and letters
         try:
             put(process(good) if process else good)
         except Exception as e:  # a batch that cannot be processed is kept aside
             bury(good, f"{type(e).__name__}: {str(e).splitlines()[0][:200]}")
         if bad is not None:
             bury(bad, "")
+        batch.unpersist()
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(store)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
