@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 
@@ -35,6 +37,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files and checkpoints of frames that are no longer referred to. Call it between the rounds of a loop: without a full collection they stay on disk until the driver's heap fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def tidy() -> None:
+    """Gives memory that a Python worker has freed back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)
 
@@ -47,6 +64,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
     for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
         if b > a:
             yield batch.slice(a, b - a)
+    tidy()
 
 
 def lowered(texts: pa.Array) -> pa.Array:

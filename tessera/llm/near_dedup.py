@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import checkpointed, lowered, mix64, slices, window_hashes, word_hashes, words_of
+from tessera.llm._common import checkpointed, lowered, mix64, release, slices, tidy, window_hashes, word_hashes, words_of
 from tessera.llm.components import connected
 
 SHINGLE, SIMILARITY = 3, 0.85
@@ -35,7 +35,7 @@ SIGNATURE, MATCHES = 64, 40
 #: One-byte coordinates of the longer signature, and how many a pair must share before its sets are compared (five standard deviations below 0.85).
 LONG, LONG_MATCHES = 256, 189
 #: Mergings with pivots before the last one.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 #: Members of a posting that are compared with each other in one task.
 BLOCK = 2048
 #: Bits of the bitmap of ids whose sets are needed; ids beyond what it can tell apart only cost time.
@@ -232,7 +232,9 @@ def across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for a, b in zip([0, *cuts], cuts, strict=False):
                 if b - a > 1:
                     found += compare(now.slice(a, b - a).combine_chunks())
-            rest = now.slice(cuts[-1] if len(cuts) else 0)
+            rest = now.slice(cuts[-1] if len(cuts) else 0).combine_chunks()
+            del now
+            tidy()
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, arrow) for x in zip(*found, strict=True)], ["a", "b"])
         if rest is not None and rest.num_rows > 1 and (found := compare(rest.combine_chunks())):
@@ -255,6 +257,8 @@ def links(posted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if known is not None:
             edges = edges.union(known.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")))
         known = connected(edges)
+        del rows, pairs, edges
+        release(posted.sparkSession)
     return known
 
 
@@ -275,9 +279,13 @@ def groups(docs: DataFrame, percent: int = round(100 * SIMILARITY), id_column: s
     members = checkpointed(some.select("doc_id", *digest).join(firsts, digest).select("doc_id", "first"))
     classes = signed.join(firsts, digest).where("doc_id = first").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "keys").dropDuplicates(["id", "n"])
     posted = postings(classes)
+    del classes
+    release(docs.sparkSession)
     repeated = not members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     sets = sets_of(slim, posted.select("id").distinct(), repeated)
+    release(docs.sparkSession)
     near = links(posted, sets, percent)
+    del posted, sets
     # an id with several texts is in several classes, so classes link through it as well
     several = members.groupBy("doc_id").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low <> high").select("doc_id")
     bridges = members.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))

@@ -2,12 +2,13 @@
 
 Documents queue up by source. Every window gives each queue a quantum of tokens
 (window x weight / weights of the queues not yet empty); what a queue was owed
-beyond whole tokens is its deficit and is carried on. Summed over windows, queue
-k has been served C_k(w) - C_{k-1}(w) tokens after w windows, where
-C_k(w) = floor(window * w * (weight_1 + ... + weight_k) / weights), so that every
-window is filled exactly and no deficit ever reaches a whole token. As this
-needs only totals, the carried state of any window on any partition is
-computed, not handed on: a token's place in its queue gives its window.
+beyond whole tokens is its deficit and is carried on. The queues are the leaves
+of a balanced tree: of the first n tokens that reach a node, floor(n x left
+weights / its weights) go left and the others right. So every window is filled
+exactly, what a queue has been served only grows, and its deficit stays within the
+tree's depth. As this needs only totals, the carried state of any
+window on any partition is computed, not handed on: a token's place in its queue
+gives its window.
 
 Three passes: tokenize once (ids go to a checkpoint with each document's place
 in its partition's part of the queue), add up tokens by partition and queue, and
@@ -99,26 +100,41 @@ def token_counts(texts: pa.Array, path: str) -> np.ndarray:
     return np.diff(WordTokenizer.load(path).encode(texts)[1])
 
 
+def served(phase: tuple, queue: int, windows: int) -> tuple[int, int]:
+    """Tokens of the queues before this one, and of this one, in a phase's first windows."""
+    _, _, size, _, prefix, _ = phase
+    n, before, low, high = size * windows, 0, 0, len(prefix) - 1
+    while high - low > 1:
+        middle = (low + high) // 2
+        total = prefix[high] - prefix[low]
+        left = n * (prefix[middle] - prefix[low]) // total if total else 0
+        if queue < middle:
+            n, high = left, middle
+        else:
+            n, before, low = n - left, before + left, middle
+    return before, n
+
+
 def plan(totals: list[int], weights: list[float] | None, window: int) -> list[tuple[int, int, int, int, list[int], list[int]]]:
     """Phases (first window, windows, tokens a window, weights' sum, their prefix sums, tokens served before), each with one set of waiting queues.
 
     Without weights, queues are served in proportion to their totals and end together.
     """
     left, share = list(totals), [round(w * (1 << 20)) for w in weights] if weights else list(totals)
-    at, out = 0, []
+    at, out, depth = 0, [], len(totals).bit_length() + 1
     while (rest := sum(left)) > 0:
         live = [w if n else 0 for w, n in zip(share, left, strict=True)]
         if not sum(live):  # only queues without weight are left
             live = list(left)
-        whole = min([rest // window, *(n * sum(live) // (window * w) for n, w in zip(left, live, strict=True) if w)])
-        if whole:
+        # in proportion to what they have, no queue runs out early; else up to where one could, its deficit included
+        whole = rest // window if live == left else min([rest // window, *((n - depth) * sum(live) // (window * w) for n, w in zip(left, live, strict=True) if w)])
+        if whole > 0:
             size, windows = window, whole
         else:  # a queue runs out in this window: the others divide what it leaves
             size, windows, live = min(window, rest), 1, shares(min(window, rest), left, live)
         prefix = np.cumsum([0, *live], dtype=object).tolist()
         out.append((at, windows, size, prefix[-1], prefix, [a - b for a, b in zip(totals, left, strict=True)]))
-        served = [size * windows * b // prefix[-1] - size * windows * a // prefix[-1] for a, b in zip(prefix, prefix[1:])]
-        left, at = [n - s for n, s in zip(left, served, strict=True)], at + windows
+        left, at = [n - served(out[-1], k, windows)[1] for k, n in enumerate(left)], at + windows
     return out
 
 
@@ -143,22 +159,33 @@ def shares(size: int, left: list[int], weights: list[int]) -> list[int]:
 def pieces(phases: list, queue: int, start: int, n: int) -> Iterator[tuple[int, int, int, int]]:
     """(place in the document, length, window, offset in it) of n tokens from place `start` of the queue."""
     firsts = [p[5][queue] for p in phases]
-    done = 0
+    done, phase, w = 0, None, 0
     while done < n:
-        x = start + done
-        i = bisect_right(firsts, x) - 1  # of phases with the same start the last one serves it
-        first, windows, size, total, prefix, base = phases[i]
-        low, high, y = prefix[queue], prefix[queue + 1], x - base[queue]
-        w = min(windows - 1, y * total // (size * (high - low)))
-        while size * (w + 1) * high // total - size * (w + 1) * low // total <= y:
-            w += 1
-        while w and size * w * high // total - size * w * low // total > y:
-            w -= 1
-        a, b = size * w * low // total, size * (w + 1) * low // total
-        begin, end = size * w * high // total - a, size * (w + 1) * high // total - b
+        # of phases with the same start the last one serves it
+        now = phases[bisect_right(firsts, start + done) - 1]
+        y = start + done - now[5][queue]
+        if now is not phase:
+            phase, low, high = now, 0, now[1] - 1
+            # windows are near to where the queue's share puts them
+            share = now[4][queue + 1] - now[4][queue]
+            near, step = min(high, y * now[3] // (now[2] * share)), 1
+            while low < (to := max(low, near - step)) and served(now, queue, to)[1] > y:
+                step *= 4
+            low, step = to, 1
+            while (to := min(high, near + step)) < high and served(now, queue, to + 1)[1] <= y:
+                step *= 4
+            high = to
+            while low < high:
+                middle = (low + high) // 2
+                low, high = (low, middle) if served(now, queue, middle + 1)[1] > y else (middle + 1, high)
+            w, (before, begin) = low, served(now, queue, low)
+            after, end = served(now, queue, w + 1)
+        while end <= y:
+            w, before, begin = w + 1, after, end
+            after, end = served(now, queue, w + 1)
         take = min(n - done, end - y)
-        # the window holds the queues in order: those before this one take b - a tokens
-        yield done, take, first + w, b - a + y - begin
+        # a window holds the queues in order
+        yield done, take, now[0] + w, after - before + y - begin
         done += take
 
 
