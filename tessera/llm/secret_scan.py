@@ -22,7 +22,7 @@ KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 #: Runs of token characters with a digit; then a letter is asked for.
 CANDIDATE = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/=_-]*[0-9])[A-Za-z0-9+/=_-]{20,}"
 #: Strings that look random and are no secrets: UUIDs, dates and times, paths of words, placeholders.
-ALLOW = (r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T_]?[0-9:-]*", r"^(?:/?[A-Za-z]+[-_]?[0-9]{0,4}){2,}/?$", r"(?i)example|placeholder|xxxx|0000000|1234567")
+ALLOW = (r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T_]?[0-9:-]*", r"^[/_-]?[A-Za-z]+[0-9]{0,4}(?:[/_-][A-Za-z]+[0-9]{0,4})+[/_-]?$", r"(?i)example|placeholder|xxxx|0000000|1234567")
 WINDOW, HEX_BITS, BASE64_BITS = 20, 3.0, 3.8
 _FIRST, _CODES = 43, 80  # "+" to "z"
 
