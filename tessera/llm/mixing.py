@@ -38,7 +38,8 @@ def targets(totals: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float
     everything = Window.partitionBy()
     total = F.sum("source_size").over(everything) * F.lit(share)
     rows = rows.withColumn("level", F.greatest(F.lit(0.0), total - F.coalesce(F.sum("cap").over(stops.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("weight").over(stops.rowsBetween(0, Window.unboundedFollowing)))
-    rows = rows.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct((F.col("cap") / F.col("weight")).alias("at"), "source", "level"))).over(everything)["level"])
+    # of the levels that do not stop their own source, the highest leaves no one else stopped too early
+    rows = rows.withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything))
     return rows.withColumn("target", F.least("cap", F.coalesce(F.col("level"), F.lit(float("inf"))) * F.col("weight"))).drop("cap", "level", "weight")
 
 

@@ -1,0 +1,103 @@
+"""The pipeline's stages, each on its own input, and the guard that lets the rest live without them."""
+
+import collections
+import os
+import re
+import shutil
+import subprocess
+import sys
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tessera.llm import queries
+
+ROOT = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def staged(spark, data, tmp_path_factory):
+    folder, out = tmp_path_factory.mktemp("stages"), {}
+    docs = out["documents"] = spark.read.parquet(f"{data}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, data).write.parquet(str(folder / str(k)))
+        docs = out[name] = spark.read.parquet(str(folder / str(k)))
+    return out
+
+
+def test_stages_in_order(staged):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near-duplicates", "secrets", "source weights", "packing"]
+    for name in list(staged)[:-1]:
+        assert staged[name].columns == ["doc_id", "text", "lang", "source", "n_chars"] and staged[name].count() > 0
+
+
+def test_quality_stage(spark, data, staged):
+    kept = {r.doc_id for r in queries.op3_quality(spark, data).where("kept").collect()}
+    assert {r.doc_id for r in staged["quality rules"].collect()} == kept
+
+
+def test_near_duplicate_stage(staged):
+    before, after = staged["quality rules"], staged["near-duplicates"]
+    sets = {r.doc_id: frozenset(zip(*[WORDS.findall(r.text.lower())[i:] for i in range(3)])) for r in before.collect()}
+    left = {r.doc_id for r in after.collect()}
+    assert len(left) == after.count()
+    for i in left:
+        for j in left:
+            both = len(sets[i] & sets[j])
+            assert i == j or not both or 100 * both < 85 * (len(sets[i]) + len(sets[j]) - both)
+
+
+def test_secret_stage(staged):
+    before, after = ({r.doc_id: r for r in staged[k].collect()} for k in ("near-duplicates", "secrets"))
+    assert set(before) == set(after)
+    for i, r in after.items():
+        assert r.n_chars == len(r.text) and not re.search(r"[0-9a-f]{24,}|AKIA[A-Z0-9]{16,}", r.text)
+        if "[SECRET]" not in r.text:
+            assert r.text == before[i].text
+
+
+def test_weight_stage(staged):
+    before, after = staged["secrets"], staged["source weights"]
+    n = collections.Counter(r.doc_id for r in after.collect())
+    assert max(n.values()) <= 2 and set(n) <= {r.doc_id for r in before.collect()}
+    words = lambda df: df.agg(F.sum(F.regexp_count("text", F.lit(WORDS.pattern)))).first()[0]
+    assert 1.3 < words(after) / words(before) <= 1.5
+
+
+def test_packing_stage(staged):
+    out, docs = staged["packing"], staged["source weights"]
+    tokens = {r.doc_id: r.doc_tokens for r in out.collect()}
+    copies = collections.Counter(r.doc_id for r in docs.collect())
+    assert out.agg(F.sum("length")).first()[0] == sum(tokens[i] * n for i, n in copies.items())
+
+
+def test_run_gives_the_last_stage(spark, data, staged):
+    got = corpus_pipeline.run(spark, data)
+    assert got.columns == staged["packing"].columns
+    assert got.agg(F.sum("length")).first()[0] == staged["packing"].agg(F.sum("length")).first()[0]
+
+
+def test_an_empty_table_passes(spark, staged, data):
+    docs = staged["documents"].limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, data).count() == 0
+
+
+def test_the_rest_lives_without_the_subpackage(tmp_path):
+    for name in ("__spark_entry__.py", "tessera"):
+        (shutil.copytree if os.path.isdir(f"{ROOT}/{name}") else shutil.copy)(f"{ROOT}/{name}", tmp_path / name)
+    shutil.rmtree(tmp_path / "tessera/llm")
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'flagship_revenue_by_nation' in q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
+    env = os.environ | {"PYTHONPATH": str(tmp_path)}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
+
+
+def test_nothing_else_imports_it():
+    for folder, _, names in os.walk(f"{ROOT}/tessera"):
+        if "/llm" not in folder:
+            for n in names:
+                if n.endswith(".py"):
+                    with open(f"{folder}/{n}") as f:
+                        assert "llm" not in f.read(), n
