@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import chat_format, html_text, language_id, mixing, near_dedup, neighbours, packing, quality, secret_scan, url_filter
 from tessera.llm._common import table
+from tessera.llm.oracle import ORACLE_SQL  # noqa: F401
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +65,3 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_url_filter, op3_quality, op4_secret_scan, op5_language_id, op6_chat_format, op7_neighbours, op8_mixing, op9_near_dedup, op10_html_text)}
-ORACLE_SQL: dict[str, str] = {}
