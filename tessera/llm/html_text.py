@@ -33,9 +33,11 @@ NOISE_TAGS = frozenset("applet aside audio button canvas datalist dialog embed f
 RAW = frozenset("iframe noembed noframes noscript script style textarea title xmp".split())
 NOISE_WORDS = frozenset("""
     ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies disqus
-    footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related
-    recommended replies reply respond share sharing sidebar sidebars skip social sponsor sponsored subscribe subscription tags toc toolbar topbar widget widgets
+    alert alerts discussion feedback footer gdpr guestbook menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related
+    recommended replies reply respond responses share sharing sidebar sidebars skip social sponsor sponsored subscribe subscription tags toc toolbar topbar widget widgets
 """.split())
+#: Names of headers, which are noise outside articles only; first parts of names that tell of a page's layout and not of the element.
+HEADER_WORDS, LAYOUT = frozenset("header masthead".split()), frozenset("has is no with without".split())
 NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search toolbar".split())
 #: An open element that such a tag closes.
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
@@ -50,7 +52,7 @@ _LOWER = str.maketrans(ASCII_UPPER, ASCII_LOWER)
 class Node:
     __slots__ = ("tag", "style", "parent", "children", "noise")
 
-    def __init__(self, tag: str, style: str, parent: "Node | None", noise: bool):
+    def __init__(self, tag: str, style: str, parent: "Node | None", noise: str):
         self.tag, self.style, self.parent, self.noise, self.children = tag, style, parent, noise, []
 
 
@@ -58,18 +60,20 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
 
 
-def is_noise(tag: str, own: dict[str, str]) -> bool:
+def is_noise(tag: str, own: dict[str, str]) -> str:
+    """"always", "outside" (of an article), or ""."""
     if tag in NOISE_TAGS or own.get("role", "").lower() in NOISE_ROLES or "hidden" in own or own.get("aria-hidden", "").lower() == "true":
-        return True
-    if tag in ("body", "html", "article", "main") and "comment" not in own.get("class", ""):
-        return False
-    names = f"{own.get('class', '')} {own.get('id', '')}".lower()
-    return any(name in NOISE_WORDS or any(w in NOISE_WORDS for w in _WORD.split(name)) for name in names.split())
+        return "always"
+    names = f"{own.get('class', '')} {own.get('id', '')}".lower().split()
+    if tag in ("body", "html", "article", "main") and not any("comment" in n for n in names):
+        return ""
+    words = {w for n in names for parts in [_WORD.split(n)] if parts[0] not in LAYOUT for w in (n, *parts)}
+    return "always" if words & NOISE_WORDS else "outside" if tag == "header" or words & HEADER_WORDS else ""
 
 
 def parse(page: str) -> Node:
     """The page's tree. Children are nodes and strings; references in strings are decoded."""
-    root = at = Node("#root", "", None, False)
+    root = at = Node("#root", "", None, "")
     pos, end = 0, len(page)
     while pos < end:
         m = _TOKEN.match(page, pos)
@@ -136,11 +140,12 @@ def content_roots(root: Node) -> list[Node]:
 def walk(roots: list[Node], removed: frozenset[int], put) -> None:
     """Calls put(path, node, child or None at a block's edge) over what is kept, in page order; path: the hash of the styles down to the node."""
     stack: list = [(r, None) for r in reversed(roots)]
+    in_article = any(r.tag == "article" for r in roots)
     while stack:
         x, above = stack.pop()
         if isinstance(x, Node):
             inside = above is not None
-            if x.noise and inside or x.tag == "header" and not any(r.tag == "article" for r in roots):
+            if x.noise and inside and (x.noise == "always" or not in_article):
                 put(above, None)
                 continue
             path = xxhash.xxh64_intdigest(f"{above if inside else ''}>{x.style}") - (1 << 63)

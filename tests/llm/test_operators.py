@@ -573,6 +573,8 @@ PAGES = [
     ("<article>a < b and c > d <p title=\"x>y\">q &#233;&eacute; &unknown;</p><textarea>no</textarea></article>", "a < b and c > d q éé &unknown;"),
     ("<table><tr><td>1<td>2<tr><td>3</table>", "1 2 3"),
     ("<article><div class='share'>no</div>keep<div hidden>no</div></article><article>two</article>", "keep two"),
+    ("<body class=has-sidebar><div class='content with-sidebar'><div class=page-header>no</div>yes</div>", "yes"),
+    ("<article><header class=post-header><h1>T</h1></header><p>x</p><div class='cookie-notice alert'>no</div></article><section id=responses>no</section>", "T x"),
     ("", ""),
     (None, ""),
     ("<title>no</title><body></body>", ""),
