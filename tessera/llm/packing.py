@@ -213,10 +213,9 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
     else:
         names.sort(key=lambda s: (s is None, s or ""))
         queues = max(1, len(names))
-        number = F.lit(names.index(None) if None in names else 0)
+        number = F.when(F.lit(False), 0)  # one flat CASE, however many sources
         for i, s in enumerate(names):
-            if s is not None:
-                number = F.when(F.col("source") == s, i).otherwise(number)
+            number = number.when(F.col("source").eqNullSafe(F.lit(s).cast("string")), i)
         rows = rows.withColumn("queue", number.cast("int"))
 
     def tokenize(batches):
