@@ -95,7 +95,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
     at_end = F.col("__bucket").between(F.col("__first"), F.col("__last"))
     sure = parted.where(~at_end).withColumn("copies", F.col("__whole") + F.when((F.col("part") > 0) & (F.col("__bucket") < F.col("__first")), 1).otherwise(0))
     order = Window.partitionBy("__source").orderBy("__rank", "__id", "size")
-    edge = parted.where(at_end).select("*", F.row_number().over(order).alias("__n"), (F.col("__before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("__with"))
+    # the few documents about where the samples end
+    edge = checkpointed(parted.where(at_end)).select("*", F.row_number().over(order).alias("__n"), (F.col("__before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("__with"))
     fits = F.col("__with") <= F.col("__left")
     behind = edge.groupBy("__source").agg((F.first("__left") - F.first("__before") - F.coalesce(F.sum(F.when(fits, F.col("size"))), F.lit(0))).alias("gap"), F.count_if(fits).alias("fit"), F.min(F.when(~fits, F.col("__n"))).alias("from"))
     rest = edge.select("__source", "__n", "size", fits.alias("fits")).join(behind.withColumnRenamed("__source", "__of"), F.col("__source").eqNullSafe(F.col("__of"))).where(~F.col("fits") & (F.col("__n") < F.col("from") + TAIL))
