@@ -24,6 +24,8 @@ WEIGHTS = (3, 1, 2)
 BUCKETS = 1 << 14
 #: Ranks behind the first document that is too long that may fill the gap.
 TAIL = 256
+#: Sources up to here are broadcast to the documents; more are joined.
+BROADCAST_SOURCES = 10_000
 
 
 def targets(totals: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -71,9 +73,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     aims = checkpointed(aims.withColumn("whole", whole).withColumn("part", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") - F.col("whole")).otherwise(0.0)).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")))
 
+    few = aims.count() <= BROADCAST_SOURCES  # else Spark joins by source and splits hot ones
+
     def ranked(df: DataFrame, of: DataFrame, source: str, u: str, score: str) -> DataFrame:
-        """With what the documents' source aims at, and odds(u) / odds(probability) as __rank, its bucket as __bucket. A row per source: Spark broadcasts it while it is small and splits hot sources else."""
-        out = df.join(of.withColumnRenamed("source", "__of"), F.col(source).eqNullSafe(F.col("__of"))).drop("__of")
+        """With what the documents' source aims at, and odds(u) / odds(probability) as __rank, its bucket as __bucket."""
+        of = of.withColumnRenamed("source", "__of")
+        out = df.join(F.broadcast(of) if few else of, F.col(source).eqNullSafe(F.col("__of"))).drop("__of")
         p = F.col("part") * F.col(score) * F.when(F.col("scored") > 0, F.col("source_size") / F.col("scored")).otherwise(0.0) if score_column else F.col("part")
         rank = F.when(p >= 1, 0.0).when(p > 0, (F.col(u) / (1 - F.col(u))) / (p / (1 - p))).otherwise(F.lit(float("inf")))
         out = out.withColumn("__rank", rank)
