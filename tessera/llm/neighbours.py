@@ -4,14 +4,17 @@ Every tree gives a vector a string of bits, the sides of random hyperplanes on w
 tree's array of vectors, sorted by these strings, is known by how many lie below each prefix of
 `depth` bits. A query descends to its own longest prefix in all trees and then
 ascends in all of them at once, a bit at a time, until the ranges that share the
-prefix hold `candidates` vectors together. These ranges are read off the sorted
+prefix hold `candidates` vectors together, or all if that is less work. These ranges are read off the sorted
 counts. Vectors go to the block of the array that holds them, queries to all
 blocks of their ranges, and every block ranks its candidates by the exact measure.
 
+How far to ascend is measured: a bounded sample of queries is answered by brute force, and
+`candidates` grows from its least value until the sample's neighbours lie in the ranges as often as asked.
+
 For the largest inner product, vectors get one more coordinate, which makes
 all as long as the longest one; a query has 0 there.
 
-The driver gets the counts of trees x 2^depth prefixes and nothing else. A prefix that
+The driver gets the counts of trees x 2^depth prefixes and the sampled queries with their neighbours, nothing else. A prefix that
 alone holds more than a block (copies) is split over blocks by the id's hash, all of
 which its queries visit, so that nothing is dropped.
 """
@@ -24,9 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-#: Trees, vectors that the ascent must reach, vectors in a block, and bits of a prefix at most (2^16 x TREES counts).
+#: Trees, vectors that the ascent must reach at least, vectors in a block, and bits of a prefix at most (2^16 x TREES counts).
 TREES, CANDIDATES, BLOCK, DEPTH = 12, 40_000, 8192, 16
+#: Recall that the ascent must reach on the sampled queries, how many these are, and the factor by which the ascent grows until then.
+RECALL, SAMPLE, GROWTH = 0.93, 256, 1.25
 
 
 def usable(vector: Column) -> Column:
@@ -50,16 +56,27 @@ def ranges(cells: np.ndarray, below: np.ndarray, depth: int, candidates: int) ->
     """First prefix of each query's range in each tree, and how many bits of depth it leaves open. below: [tree, prefix + 1] sorted counts."""
     trees = np.arange(cells.shape[1])
     open_bits = np.full(len(cells), depth)
+    n = below[0, -1]
     waiting = np.ones(len(cells), bool)
     for b in range(depth + 1):
         first = (cells >> b) << b
         held = (below[trees, first + (1 << b)] - below[trees, first]).sum(axis=1)
         hit = waiting & (held >= candidates)
-        open_bits[hit] = b
+        open_bits[hit] = np.where(held[hit] < n, b, depth)  # one tree's root holds all for n
         waiting &= ~hit
     return (cells >> open_bits[:, None]) << open_bits[:, None], open_bits
 
 
+def reach(found: np.ndarray, levels: np.ndarray, cells: np.ndarray, below: np.ndarray, depth: int, candidates: int) -> int:
+    """The least ascent from `candidates` on that finds enough. found: the sampled query of each true neighbour; levels: the bits that must be open for it; cells: the queries' prefixes."""
+    while len(found) and candidates <= below[:, -1].sum():
+        _, open_bits = ranges(cells, below, depth, candidates)
+        if np.mean(levels <= open_bits[found]) >= RECALL:
+            break
+        candidates = math.ceil(candidates * GROWTH)
+    return candidates
+
+
 def dense(batch: pa.RecordBatch, column: str = "vector") -> np.ndarray:
     return batch.column(column).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
 
@@ -97,6 +114,35 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, trees: int = TREES
     held = np.zeros((trees, 1 << depth), np.int64)
     held[counts["tree"], counts["cell"]] = counts["n"]
     below = np.concatenate((np.zeros((trees, 1), np.int64), np.cumsum(held, axis=1)), axis=1)
+    if candidates < trees * n and (sample := rows.where("query").select("vec_id", "vector").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()):
+        asked, asked_ids = np.array([r["vector"] for r in sample]), np.array([r["vec_id"] for r in sample])
+        asked_cells = prefixes(asked, longest, trees, depth, True)
+
+        def brute(batches):
+            """The sampled queries' nearest among a task's vectors, and the bits that must be open for a tree to hold both."""
+            best = np.full((len(asked), k), -np.inf)
+            best_ids = np.empty((len(asked), k), object)
+            best_levels = np.zeros((len(asked), k), np.int64)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 4096):
+                    batch = whole.slice(at, 4096)
+                    own, ids = dense(batch), np.array(batch.column("vec_id").to_pylist())
+                    cells = prefixes(own, longest, trees, depth, False)
+                    scores = asked @ own.T
+                    scores[asked_ids[:, None] == ids] = -np.inf
+                    some = np.argpartition(-scores, min(k, len(ids)) - 1, axis=1)[:, :k]
+                    levels = np.frexp((asked_cells[:, None, :] ^ cells[some]).min(axis=2).astype(np.float64))[1]
+                    best, best_ids, best_levels = (np.concatenate(x, axis=1) for x in ((best, np.take_along_axis(scores, some, axis=1)), (best_ids, ids.astype(object)[some]), (best_levels, levels)))
+                    order = np.argsort(-best, axis=1, kind="stable")[:, :k]
+                    best, best_ids, best_levels = (np.take_along_axis(x, order, axis=1) for x in (best, best_ids, best_levels))
+            query, place = np.nonzero(np.isfinite(best))
+            yield pa.RecordBatch.from_arrays([pa.array(query.astype(np.int32)), pa.array(best_ids[query, place].tolist(), pa_kind), pa.array(best[query, place]), pa.array(best_levels[query, place].astype(np.int32))], ["query", "vec_id", "score", "level"])
+
+        pa_kind = to_arrow_type(rows.schema["vec_id"].dataType)
+        met = rows.select("vec_id", "vector").mapInArrow(brute, f"query int, vec_id {kind}, score double, level int").groupBy("query", "vec_id").agg(F.max("score").alias("score"), F.min("level").alias("level"))
+        nearest_first = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+        true = met.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k).select("query", "level").toPandas()
+        candidates = reach(true["query"].to_numpy(), true["level"].to_numpy(), asked_cells, below, depth, candidates)
     # a block is where its first vector lies in the tree's array; a prefix that is larger than a block alone has parts
     starts = below[:, :-1] // block
     parts = np.maximum(1, -(-held // block))

@@ -407,6 +407,18 @@ def test_neighbours_recall(spark, unit):
     assert np.mean(hits) >= 9
 
 
+def test_neighbours_ascend_until_the_measured_recall(spark):
+    n = 60_000
+    x = np.random.RandomState(3).standard_normal((n, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    got = collections.defaultdict(set)
+    for r in neighbours.nearest(df, F.col("vec_id") % 300 == 0, k=20, candidates=600).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = [len(got[q] & set(np.argsort(-np.where(np.arange(n) == q, -9e9, x @ x[q]))[:20].tolist())) for q in range(0, n, 300)]
+    assert np.mean(hits) >= 18
+
+
 def test_neighbours_of_odd_rows(spark):
     one, two = [1.0, 0.0], [0.0, 2.0]
     data = [(0, one), (1, one), (2, one), (3, two), (4, None), (5, [0.0, 0.0]), (6, [None, 1.0]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (9, [1.0, 2.0, 3.0]), (None, one), (20, two), (20, two)]
