@@ -6,9 +6,9 @@ language's sample holds; the language that needs the fewest phrases, times
 the bits that name a place in its sample and divided by the text's length, wins.
 
 A text is read whole, in blocks of BLOCK characters, each parsed from its start,
-so that all blocks of a batch take a step at once. The automata are a table of
-next states, built once in every Python worker from the sample, which alone is
-sent to the executors.
+so that all blocks of a batch take a step at once. An automaton is a hash table of
+next states by state and letter, built once in every Python worker from the sample, which
+alone is sent to the executors.
 """
 
 from __future__ import annotations
@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import slices
 
-#: The sample: languages with the most rows, rows of each (about), characters of a row, characters of each.
-LANGUAGES, SAMPLE_ROWS, ROW_CHARS, SAMPLE_CHARS = 64, 400, 300, 30_000
-#: Letters that the automata tell apart; the others are one class. All that is no letter is a space.
-LETTERS = 61
+#: The sample of each language: rows (about), characters of a row, characters of all.
+SAMPLE_ROWS, ROW_CHARS, SAMPLE_CHARS = 400, 300, 30_000
 BLOCK = 512
-_SPACE, _OTHER = 0, LETTERS + 1
+#: Classes: all that is no letter, letters that no sample holds, and from 2 on each letter of the samples.
+_SPACE, _OTHER = 0, 1
 _CODES = 0x30000
+#: Bits of an entry of the hash table: the next state's (2 x SAMPLE_CHARS states at most), the letter's.
+_STATE_BITS, _CLASS_BITS = 20, 18
+_EMPTY = np.uint64(2**64 - 1)
 _built: dict[tuple, tuple] = {}
 
 
@@ -40,8 +42,54 @@ def folded() -> np.ndarray:
     return out
 
 
-def automaton(classes: np.ndarray) -> np.ndarray:
-    """The suffix automaton of a text as a table: [state, class] holds the next state and, from bit 30 on, the phrases that end there."""
+class Automaton:
+    """The suffix automaton of a text. root: by class, the state that follows the first one; slots: state, class and next state, hashed by the first two."""
+
+    def __init__(self, nexts: list[dict[int, int]], classes: int):
+        self.states = len(nexts)
+        self.root = np.zeros(classes, np.int64)
+        self.known = np.zeros(classes, bool)
+        for c, s in nexts[0].items():
+            self.root[c], self.known[c] = s, True
+        keys = np.array([s << _CLASS_BITS | c for s, own in enumerate(nexts) for c in own] or [0], np.uint64)
+        to = np.array([t for own in nexts for t in own.values()] or [0], np.uint64)
+        self.bits = max(4, int(3 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, _EMPTY)
+        place, waiting = self.place(keys), np.arange(len(keys))
+        while len(waiting):  # the first of those that want a free slot has it, the others go on to the next
+            free = waiting[self.slots[place[waiting]] == _EMPTY]
+            _, first = np.unique(place[free], return_index=True)
+            put = free[first]
+            self.slots[place[put]] = keys[put] << _STATE_BITS | to[put]
+            waiting = np.setdiff1d(waiting, put, assume_unique=True)
+            place[waiting] = place[waiting] + 1 & (1 << self.bits) - 1
+
+    def __len__(self) -> int:
+        return self.states
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, state: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and the phrases that end: without a next state the phrase does, and the character begins the next one; an unknown character is a phrase of its own."""
+        keys = state.astype(np.uint64) << _CLASS_BITS | classes.astype(np.uint64)
+        place = self.place(keys)
+        found = self.slots[place]
+        to = (found & np.uint64((1 << _STATE_BITS) - 1)).astype(np.int64)
+        hit = found >> _STATE_BITS == keys
+        on = np.flatnonzero(~hit & (found != _EMPTY))
+        while len(on):  # another key's slot: the next one
+            place[on] = place[on] + 1 & (1 << self.bits) - 1
+            found = self.slots[place[on]]
+            same = found >> _STATE_BITS == keys[on]
+            hit[on[same]] = True
+            to[on[same]] = (found[same] & np.uint64((1 << _STATE_BITS) - 1)).astype(np.int64)
+            on = on[~same & (found != _EMPTY)]
+        return np.where(hit, to, self.root[classes]), np.where(hit, 0, (state != 0) + (~self.known[classes]).astype(np.int64))
+
+
+def automaton(classes: np.ndarray, n: int) -> Automaton:
+    """The suffix automaton of a text of n classes."""
     nexts, link, length, last = [{}], [-1], [0], 0
     for c in classes.tolist():
         cur = len(nexts)
@@ -66,17 +114,7 @@ def automaton(classes: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    root = np.zeros(LETTERS + 2, np.int64)
-    known = np.zeros(LETTERS + 2, bool)
-    for c, s in nexts[0].items():
-        root[c], known[c] = s, True
-    # without a next state the phrase ends, and the character begins the next one; an unknown character is a phrase of its own
-    table = np.tile(root + ((~known).astype(np.int64) << 30), (len(nexts), 1))
-    table[1:] += 1 << 30
-    for s, own in enumerate(nexts):
-        for c, t in own.items():
-            table[s, c] = t
-    return table.astype(np.uint32)
+    return Automaton(nexts, n)
 
 
 def classes_of(texts: list[str], fold: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,29 +132,26 @@ def model(samples: tuple[tuple[str, str], ...]) -> tuple:
     if samples not in _built:
         fold = folded()
         every = fold[np.minimum(np.frombuffer("".join(t for _, t in samples).encode("utf-32-le", "surrogatepass"), np.uint32), _CODES - 1)]
-        letters, counts = np.unique(every[every > 0], return_counts=True)
-        number = np.full(_CODES, _OTHER, np.uint8)
+        letters = np.unique(every[every > 0])
+        number = np.full(_CODES, _OTHER, np.int32)
         number[0] = _SPACE
-        for i, c in enumerate(letters[np.lexsort((letters, -counts))][:LETTERS]):
-            number[c] = i + 1
+        number[letters] = np.arange(len(letters)) + 2
         tables = []
         for language, text in samples:
             classes, _ = classes_of([text], fold, number)
-            tables.append((language, automaton(classes), np.log2(max(2, len(classes)))))
+            tables.append((language, automaton(classes, len(letters) + 2), np.log2(max(2, len(classes)))))
         _built.clear()
         _built[samples] = fold, number, tables
     return _built[samples]
 
 
-def phrases(blocks: np.ndarray, lengths: np.ndarray, table: np.ndarray) -> np.ndarray:
+def phrases(blocks: np.ndarray, lengths: np.ndarray, table: Automaton) -> np.ndarray:
     """Phrases of each block. blocks: [place, block], longest blocks first."""
-    flat, width = table.reshape(-1), table.shape[1]
     state, count = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     live = np.searchsorted(-lengths, -np.arange(len(blocks)), side="left")  # blocks longer than the place
     for t, n in enumerate(live):
-        step = flat[state[:n] * width + blocks[t, :n]]
-        count[:n] += step >> 30
-        state[:n] = step & 0x3FFFFFFF
+        state[:n], ended = table.step(state[:n], blocks[t, :n])
+        count[:n] += ended
     return count + (state != 0)
 
 
@@ -131,28 +166,25 @@ def rates(texts: list[str], parts: tuple) -> np.ndarray:
     lengths = np.minimum(BLOCK, starts[1:][of] - begin)
     order = np.argsort(-lengths, kind="stable")
     of, begin, lengths = of[order], begin[order], lengths[order]
-    padded = np.concatenate((classes, np.zeros(BLOCK, np.uint8)))
+    padded = np.concatenate((classes, np.zeros(BLOCK, classes.dtype)))
     blocks = padded[begin + np.arange(lengths[0] if len(lengths) else 0)[:, None]]
     return np.stack([np.bincount(of, weights=phrases(blocks, lengths, table), minlength=len(texts)) * bits / np.maximum(1, size) for _, table, bits in tables], axis=1)
 
 
 def training_sample(rows: DataFrame) -> tuple[tuple[str, str], ...]:
     """(language, text) of a bounded sample of rows with key, text and lang; rows are chosen by the hash of their key."""
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
     if not counts:
         return ()
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1 << 20, -(-(SAMPLE_ROWS << 20) // r["n"]))).otherwise(share)
+    shares = rows.sparkSession.createDataFrame([(r["lang"], min(1 << 20, -(-(SAMPLE_ROWS << 20) // r["n"]))) for r in counts], "lang string, share long")
     draw = F.xxhash64("key", F.lit(5))
     # a passage from anywhere in the row, as long texts often begin alike
     passage = F.substring(F.col("text"), (F.pmod(draw, F.greatest(F.char_length("text") - ROW_CHARS, F.lit(0)) + 1) + 1).cast("int"), F.lit(ROW_CHARS))
-    chosen = rows.where(F.pmod(draw, F.lit(1 << 20)) < share).select("lang", draw.alias("draw"), passage.alias("text")).limit(4 * SAMPLE_ROWS * len(counts)).collect()
-    most = min(SAMPLE_CHARS, 8 * SAMPLE_CHARS // len(counts)) if len(counts) > 8 else SAMPLE_CHARS
+    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(draw, F.lit(1 << 20)) < F.col("share")).select("lang", draw.alias("draw"), passage.alias("text")).limit(4 * SAMPLE_ROWS * len(counts)).collect()
     own: dict[str, list[str]] = {r["lang"]: [] for r in counts}
     for r in sorted(chosen, key=lambda r: (r["draw"], r["text"])):
         own[r["lang"]].append(r["text"])
-    texts = sorted((k, " ".join(v)[:most]) for k, v in own.items())
+    texts = sorted((k, " ".join(v)[:SAMPLE_CHARS]) for k, v in own.items())
     return tuple((k, t) for k, t in texts if any(map(str.isalpha, t)))
 
 

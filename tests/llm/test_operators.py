@@ -319,6 +319,16 @@ def test_language_held_out_accuracy(spark, data):
     assert out.where("score < 0 OR score > 1").count() == 0
 
 
+def test_languages_of_one_large_script(spark):
+    rng = np.random.RandomState(4)
+    words = {f"l{i:02}": ["".join(map(chr, 0x4E00 + rng.randint(0, 2000, 2))) for _ in range(150)] for i in range(70)}
+    made = [(100 * i + j, " ".join(rng.choice(w, 30)), k) for i, (k, w) in enumerate(words.items()) for j in range(8 if i else 4)]
+    out = language_id.identify(spark.createDataFrame(made, "doc_id bigint, text string, lang string"), F.col("doc_id") % 4 != 3, keep=["lang"])
+    held = out.where("doc_id % 4 = 3").collect()
+    assert {r.lang for r in held} == set(words)
+    assert np.mean([r.lang == r.lang_pred for r in held]) >= 0.97
+
+
 def test_language_of_odd_rows(spark, odd):
     out = language_id.identify(odd.drop("score"), F.lit(True)).collect()
     assert len(out) == odd.count()
