@@ -3,8 +3,8 @@
 Candidate strings are runs of token characters of 20 or more that hold a digit
 and a letter. A window slides over each; counts of its characters, the sum of
 c log2 c over them and the characters that are not hexadecimal are kept by adding the one that enters
-and taking off the one that leaves. A window's class (hexadecimal or base 64)
-sets the entropy it needs. Windows above it are joined to spans, unless
+and taking off the one that leaves. A window's class (hexadecimal, base 32, letters of
+one case with digits, or base 64) sets the entropy it needs. Windows above it are joined to spans, unless
 the candidate is on the allow list or a pattern's span holds part of them.
 Only DataFrame functions are used; every row is worked on by itself.
 """
@@ -24,6 +24,9 @@ CANDIDATE = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/=_-]*[0-9])[A-Za-z0-9+/=_-]{20,}"
 #: Strings that look random and are no secrets: UUIDs, dates and times, paths of words, placeholders.
 ALLOW = (r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T_]?[0-9:-]*", r"^[/_-]?[A-Za-z]+[0-9]{0,4}(?:[/_-][A-Za-z]+[0-9]{0,4})+[/_-]?$", r"(?i)example|placeholder|xxxx|0000000|1234567")
 WINDOW, HEX_BITS, BASE64_BITS = 20, 3.0, 3.8
+#: Windows over smaller alphabets, and what they need: two standard deviations below the mean entropy of random ones (3.79 - 2 x 0.18 and 3.85 - 2 x 0.17).
+BASE32, BASE32_BITS = r"^(?=.*[2-7])(?:[A-Z2-7]+|[a-z2-7]+)$", 3.44
+ONE_CASE, ONE_CASE_BITS = r"^(?=.*[0-9])(?:[A-Z0-9]+|[a-z0-9]+)$", 3.5
 _FIRST, _CODES = 43, 80  # "+" to "z"
 
 
@@ -45,7 +48,7 @@ def matches(text: Column, regex: str, keep=None) -> Column:
 
 
 def entropy_spans(m: Column) -> Column:
-    """array<struct<s, e, k>>: joined windows of the string m whose entropy is above that of their class; k: 3 if all are hexadecimal, else 4."""
+    """array<struct<s, e, k>>: joined windows of the string m whose entropy is above that of their class; k: 3 if all are hexadecimal, else 4 (base 32 and one case too)."""
     bits = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(0.0)
     code = lambda i: F.ascii(F.substring(m, i, F.lit(1))) - _FIRST
     not_hex = lambda i: F.regexp_like(F.substring(m, i, F.lit(1)), F.lit("[^0-9a-fA-F]")).cast("int")
@@ -61,7 +64,9 @@ def entropy_spans(m: Column) -> Column:
         total = F.when(full, grown - bits(falls * 1.0) + bits(falls - 1.0)).otherwise(grown)
         other = a["other"] + not_hex(i) - F.when(full, not_hex(i - WINDOW)).otherwise(0)
         entropy = F.log2(F.lit(float(WINDOW))) - total / WINDOW
-        hit = (i >= WINDOW) & (entropy >= F.when(other == 0, HEX_BITS).otherwise(BASE64_BITS))
+        window = F.substring(m, i - WINDOW + 1, F.lit(WINDOW))
+        small = (entropy >= BASE32_BITS) & (F.regexp_like(window, F.lit(BASE32)) | ((entropy >= ONE_CASE_BITS) & F.regexp_like(window, F.lit(ONE_CASE))))
+        hit = (i >= WINDOW) & ((entropy >= F.when(other == 0, HEX_BITS).otherwise(BASE64_BITS)) | ((other > 0) & small))
         last, k = F.element_at(a["out"], -1), F.when(other == 0, 3).otherwise(4)
         joins = (F.size(a["out"]) > 0) & (last["e"] >= i - WINDOW)
         new = F.array(F.struct((i - WINDOW).cast("int").alias("s"), i.cast("int").alias("e"), k.alias("k")))

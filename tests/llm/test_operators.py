@@ -265,6 +265,14 @@ def test_secret_scan(spark, data, odd):
     assert sum(len(entropies(t)) for t in SECRETS) >= 2
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"])
+def test_secrets_of_small_alphabets(spark, letters):
+    rng = np.random.RandomState(5)
+    made = [(i, "key " + "".join(rng.choice(list(letters), 24)) + " end") for i in range(300)]
+    found = secret_scan.scan(spark.createDataFrame(made, "doc_id int, text string"))
+    assert found.where("size(secrets) > 0").count() >= 0.93 * 300
+
+
 def test_secret_digest(spark, data):
     text = {r.doc_id: r.text for r in rows(spark, data, "documents", "doc_id", "text")}
     for r in queries.op4_secret_scan(spark, data).collect():
