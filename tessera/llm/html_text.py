@@ -36,8 +36,12 @@ NOISE_WORDS = frozenset("""
     alert alerts discussion feedback footer gdpr guestbook menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related
     recommended replies reply respond responses share sharing sidebar sidebars skip social sponsor sponsored subscribe subscription tags toc toolbar topbar widget widgets
 """.split())
+#: Ids that name no passage of an article, and words that beside noise words name a part of the page.
+NOISE_IDS = frozenset("adbox advert adverts advertisement advertising breadcrumb breadcrumbs byline-share commentlist comments disqus guestbook navbar newsletter pagination popup sidebar sidebars toolbar topbar".split())
+PARTS = frozenset("area bar block box button buttons container form icons inner items link links list panel posts section thread wrap wrapper".split())
 #: Names of headers, which are noise outside articles only; first parts of names that tell of a page's layout and not of the element.
 HEADER_WORDS, LAYOUT = frozenset("header masthead".split()), frozenset("has is no with without".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 section".split())
 NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search toolbar".split())
 #: An open element that such a tag closes.
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
@@ -60,6 +64,12 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
 
 
+def whole_noise(name: str) -> bool:
+    """Whether a name as a whole, not one word of it, tells of noise."""
+    parts = set(_WORD.split(name))
+    return name in NOISE_WORDS or bool(parts & NOISE_WORDS) and parts <= NOISE_WORDS | PARTS
+
+
 def is_noise(tag: str, own: dict[str, str]) -> str:
     """"always", "outside" (of an article), or ""."""
     if tag in NOISE_TAGS or own.get("role", "").lower() in NOISE_ROLES or "hidden" in own or own.get("aria-hidden", "").lower() == "true":
@@ -68,7 +78,12 @@ def is_noise(tag: str, own: dict[str, str]) -> str:
     if tag in ("body", "html", "article", "main") and not any("comment" in n for n in names):
         return ""
     words = {w for n in names for parts in [_WORD.split(n)] if parts[0] not in LAYOUT for w in (n, *parts)}
-    return "always" if words & NOISE_WORDS else "outside" if tag == "header" or words & HEADER_WORDS else ""
+    if any(whole_noise(n) for n in own.get("class", "").lower().split()):
+        return "always"
+    # ids of headings and sections are made of their headings
+    if tag not in HEADINGS and any(n in NOISE_IDS or whole_noise(n) and len(_WORD.split(n)) > 1 for n in own.get("id", "").lower().split()):
+        return "always"
+    return "outside" if tag == "header" or words & (NOISE_WORDS | HEADER_WORDS) else ""
 
 
 def parse(page: str) -> Node:

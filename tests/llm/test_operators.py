@@ -617,6 +617,11 @@ def test_html_of_a_page(page, want):
     assert (html_text.blocks_of(html_text.content_roots(html_text.parse(page))) if page else "") == want
 
 
+def test_html_ids_made_of_headings_stay():
+    page = "<article><h2 id=discussion>a</h2><h2 id='how-to-share-data'>b</h2><section id='related-work'>c</section><section id='social-history' class='social-history'>d</section><div class='share-buttons'>no</div><div id=comments>no</div></article>"
+    assert html_text.blocks_of(html_text.content_roots(html_text.parse(page))) == "a b c d"
+
+
 def test_html_query(spark, data):
     for folder in (data, data.replace("0.001", "0.01")):
         pages = {r.page_id: r.html for r in rows(spark, folder, "pages", "page_id", "html")}
