@@ -7,6 +7,9 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that are numbered in one task, about; ranges at most; rows of the sample that sets their bounds, by range.
+PART_ROWS, MAX_PARTS, SAMPLED = 250_000, 4096, 64
+
 
 def draw(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
@@ -26,13 +29,43 @@ def stratified_sample(df: DataFrame, n: int, seed: int, stratum: str, keys: list
     return df.withColumn("__stratum", name).withColumn("__draw", draw(seed, *keys)).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= each).drop("__stratum", "__draw", "__n")
 
 
-def with_position(df: DataFrame, keys: list[str], name: str = "position") -> DataFrame:
-    """Adds each row's place (from 0) in the order of the keys: rows are dealt by range, numbered in their part, and parts are shifted by what lies before them."""
-    parts = df.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id())
-    numbered = parts.withColumn(name, F.row_number().over(Window.partitionBy("__part").orderBy(*keys)) - 1)
-    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"))
+def _order(df: DataFrame, keys: list[str]) -> Column:
+    """What rows are numbered by: the keys, then a hash of the row, which parts equal keys."""
+    hashed = [c for c, k in df.dtypes if "map<" not in k and "variant" not in k]
+    return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.xxhash64(*hashed).alias("h"))
+
+
+def _part(order: Column, bounds: Column, parts: int) -> Column:
+    """How many of the sorted bounds are at most the row's place, by bisection."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, parts.bit_length())))])
+    return F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.coalesce(F.get(bounds, low + step - 1) <= order, F.lit(False)), low + step).otherwise(low))
+
+
+def with_position(df: DataFrame, keys: list[str], name: str = "position", part_rows: int = PART_ROWS) -> DataFrame:
+    """Adds each row's place (from 0) in the order of the keys (null first); equal keys come in the order of a hash of their rows.
+
+    Rows are dealt to ranges of about part_rows, numbered there, and shifted by what lies before. A
+    row's range follows from the row and literal bounds alone (a sample's quantiles), not from where Spark
+    has put it, so every branch of the plan agrees on it, however adaptive execution deals the rows. df has to give
+    the same rows whenever it is read.
+    """
+    rows = df.count()
+    parts = min(MAX_PARTS, -(-rows // part_rows))
+    inner = Window.partitionBy("__part").orderBy("__order")
+    own = df.withColumn("__order", _order(df, keys))
+    if parts <= 1:
+        return own.withColumn("__part", F.lit(0)).withColumn(name, F.row_number().over(inner) - 1).drop("__part", "__order")
+    sample = own.select("__order").sample(min(1.0, SAMPLED * parts / rows), seed=1)
+    # the sample is bounded: SAMPLED rows a part, of which one a part stays
+    tile = sample.withColumn("n", F.ntile(parts).over(Window.orderBy("__order")))
+    bounds = tile.groupBy("n").agg(F.min("__order").alias("low")).where("n > 1").agg(F.array_sort(F.collect_list("low")).alias("__bounds"))
+    kept = df.sparkSession.createDataFrame(bounds.collect(), bounds.schema)  # literal, so that it can't change between the branches
+    dealt = own.join(F.broadcast(kept)).withColumn("__part", _part(F.col("__order"), F.col("__bounds"), parts)).drop("__bounds")
+    numbered = dealt.withColumn(name, F.row_number().over(inner) - 1)
+    sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"))
     shift = sizes.select("__part", F.coalesce(F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__shift"))
-    return numbered.join(shift, "__part").withColumn(name, F.col(name) + F.col("__shift")).drop("__part", "__shift")
+    # a row a part: MAX_PARTS at most
+    return numbered.join(F.broadcast(shift), "__part").withColumn(name, F.col(name) + F.col("__shift")).drop("__part", "__shift", "__order")
 
 
 def systematic_sample(df: DataFrame, k: int, keys: list[str]) -> DataFrame:

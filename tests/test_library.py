@@ -104,9 +104,36 @@ def test_explain_analyze_and_statistics(spark, data):
 
 
 def test_recommendations():
-    found = history.recommendations("SELECT * FROM t WHERE a = 1 ORDER BY b", 6000, 200_000, 2 << 30)
-    assert len(found) == 7 and "a" in found[0]
-    assert history.recommendations("SELECT a FROM t LIMIT 1") == ["No optimization recommendations; query appears efficient"]
+    found = history.recommendations("SELECT * FROM t WHERE a = 1 AND b.c IN ('x = 2') ORDER BY b", 6000, 200_000, 2 << 30)
+    assert [x.split(":")[0] for x in found] == ["slow", "scan", "result", "columns", "filter", "sort", "limit"]
+    assert "a, b.c" in found[4] and "6000" in found[0]
+    assert history.recommendations("SELECT a FROM t LIMIT 1") == []
+
+
+@pytest.mark.parametrize("aqe", ["true", "false"])
+def test_positions_over_many_parts(spark, aqe):
+    """Every row has its place, however many ranges there are and however Spark deals them; ties and nulls too."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", aqe)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200000")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        n = 120_000
+        wide = F.repeat(F.md5(F.col("id").cast("string")), 4)
+        rows = spark.range(n).select(F.when(F.col("id") % 1000 != 0, F.xxhash64("id") % 50_000).alias("k"), "id", wide.alias("wide")).repartition(24)
+        got = sampling.with_position(rows, ["k", "id"], part_rows=10_000).select("k", "id", "position", "wide").collect()
+        order = sorted(got, key=lambda r: (r.k is not None, r.k or 0, r.id))
+        assert [r.position for r in order] == list(range(n)) and len({r.id for r in got}) == n
+        # a third of all rows has one key: their places are one run
+        hot = spark.range(n).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 100).alias("k"), "id")
+        got = sampling.with_position(hot, ["k"], part_rows=10_000).collect()
+        assert sorted(r.position for r in got) == list(range(n))
+        assert [r.k for r in sorted(got, key=lambda r: r.position)] == sorted(r.k for r in got)
+        assert sampling.systematic_sample(rows, 1000, ["k", "id"]).count() == n // 1000
+        assert sampling.with_position(rows.limit(0), ["k"]).count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 def test_profiles_of_edges(spark, nulls, empty):
@@ -202,6 +229,16 @@ def test_pii(spark):
     assert 0 < pii.score("CreditCard", pii.features(cards, "credit_card").first().asDict(), "credit_card") < 1
 
 
+def test_pii_on_long_texts(spark):
+    """Runs without end neither overflow Java's stack nor take time beyond proportion."""
+    words, at = "12 " + "word " * 100_000, "a" * 300_000
+    rows = spark.createDataFrame([(words + "street",), (words,), (at + "@b.co",), (at,), ("12 main street",), ("x12  old mill rd. y",), ("12street",), ("no 5 elm tree",)], "s string")
+    hit = lambda k: F.col("s").rlike(pii.CATEGORIES[k][1])
+    assert [r[0] for r in rows.select(hit("HomeAddress")).collect()] == [True, False, False, False, True, True, False, False]
+    assert [r[0] for r in rows.select(hit("Email")).collect()] == [False, False, True, False, False, False, False, False]
+    assert pii.classify(rows).count() > 0
+
+
 def test_security(spark, nulls):
     rules = [security.ColumnPolicy("t", "s", "r", "MaskedAccess"), security.ColumnPolicy("t", "s", "u", "FullAccess")]
     assert security.access(rules, "t", ["s", "k"], "u", ["r"]) == {"s": ("FullAccess", None), "k": ("NoAccess", None)}
