@@ -5,6 +5,7 @@ import hashlib
 import html
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -225,30 +226,43 @@ def secrets_of(text):
     return sorted([(k, m.start(), m.end()) for k, m in out], key=lambda x: (x[1], order[x[0]]))
 
 
+def needed(w):
+    """The entropy that a window needs."""
+    if re.fullmatch("[0-9a-fA-F]+", w):
+        return secret_scan.HEX_BITS
+    if re.fullmatch("[A-Z2-7]+|[a-z2-7]+", w) and re.search("[2-7]", w):
+        return secret_scan.BASE32_BITS
+    return secret_scan.ONE_CASE_BITS if re.fullmatch("[A-Z0-9]+|[a-z0-9]+", w) and re.search("[0-9]", w) else secret_scan.BASE64_BITS
+
+
 def entropies(text):
     """Spans by recounting every window."""
-    out = []
+    out, taken = [], secrets_of(text)
     for m in re.finditer(r"[A-Za-z0-9+/=_-]{20,}", text or ""):
         s = m[0]
-        if not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)) or any(re.search(a, s) for a in secret_scan.ALLOW):
+        path = re.fullmatch(r"[/_-]?[A-Za-z]+[0-9]{0,4}(?:[/_-][A-Za-z]+[0-9]{0,4})+[/_-]?", s)
+        if path or not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)) or any(re.search(a, s) for a in secret_scan.ALLOW):
             continue
         own = []
+        blocked = [(a - m.start(), b - m.start()) for _, a, b in taken] + [(x.start() - 20, x.end() + 20) for x in re.finditer(secret_scan.PLACEHOLDER, s)]
         for i in range(len(s) - 19):
             w = s[i : i + 20]
             is_hex = re.fullmatch("[0-9a-fA-F]+", w) is not None
             h = -sum(c / 20 * math.log2(c / 20) for c in collections.Counter(w).values())
-            if h >= (secret_scan.HEX_BITS if is_hex else secret_scan.BASE64_BITS) - 1e-12:
+            if h >= needed(w) - 1e-9 and not any(a < i + 20 and i < b for a, b in blocked):
                 kind = "entropy_hex" if is_hex else "entropy_base64"
                 if own and own[-1][2] >= i:
                     own[-1] = (max(own[-1][0], kind, key=("entropy_hex", "entropy_base64").index), own[-1][1], i + 20)
                 else:
                     own.append((kind, i, i + 20))
         out += [(k, m.start() + a, m.start() + b) for k, a, b in own]
-    taken = secrets_of(text)
-    return [x for x in out if not any(a < x[2] and x[1] < b for _, a, b in taken)]
+    return out
 
 
 SECRETS = ["", None, 'x token="abcdefg" y', "token=abc password: abcdef", "token=token:abcdefgh", "ſecret=abcdefgh API_KEY = 'aaaaaaaa'", "AKIA" + "A" * 15, "AKIA" + "B" * 16, "AKIAAKIA" + "C" * 14, "😀é " + "0123456789abcdef" * 2, "a" * 24 + "g" + "0" * 23, "key Zx8Qw3Rt5Yu7Io9Pa1Sd4Fg6 end", "see 123e4567-e89b-12d3-a456-426614174000 and aZ3" * 2, "averyveryverylongwordwithoutanynumbers", "passwordpassword=secret=longlonglong", "0x" + "F00DBABE12345678DEADBEEF99", "y" * 50 + "9Zq8Wp7Ls6Kd5Jf4Hg3Bn2Vm1" + "-" * 30]
+_RNG = np.random.RandomState(3)
+RANDOM = "".join(_RNG.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 3000))
+SECRETS += [RANDOM[:700], RANDOM[:300] + "a" * 300 + RANDOM[300:560] + "/" + "b1" * 200 + RANDOM[600:640], "0123456789abcdef" * 2 + "_" + RANDOM[:40], "example/" + RANDOM[50:90], "2024-03-05_" + RANDOM[90:130], "/usr/share/python3/dist-packages/a1/b22/", "a/" * 40 + "b12345", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "My_secret=" + RANDOM[200:230] + "~" + RANDOM[230:260]]
 
 
 def test_secret_scan(spark, data, odd):
@@ -265,6 +279,24 @@ def test_secret_scan(spark, data, odd):
     assert sum(len(entropies(t)) for t in SECRETS) >= 2
 
 
+def test_secret_scan_of_long_texts(spark):
+    """A run of a million characters, a path of 100,000 parts and 20,000 pattern matches: neither deep recursion nor quadratic time."""
+    run = "".join(_RNG.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 1_000_000))
+    texts = [run, "/ab1" * 100_000, "token=abcdefg " * 20_000, RANDOM * 20, "x" * 1_000_000 + "1"]
+    began = time.perf_counter()
+    got = {r.id: r.secrets for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(4), "id").select("id", "secrets").collect()}
+    assert time.perf_counter() - began < 60
+    assert sum(x.end - x.start for x in got[0]) > 950_000 and got[1] == [] and got[4] == []
+    assert len(got[2]) == 20_000 and got[2][-1].start == 14 * 19_999
+    assert [tuple(x) for x in got[3]] == sorted(secrets_of(texts[3]) + entropies(texts[3]), key=lambda x: x[1])
+
+
+def test_secret_scan_of_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "token=abcdefg", 5, 6, 7, 8)], "doc_id int, text string, __0 int, row int, base int, runs int")
+    r = secret_scan.scan(df).first()
+    assert r[:6] == (1, "token=abcdefg", 5, 6, 7, 8) and len(r.secrets) == 1
+
+
 @pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"])
 def test_secrets_of_small_alphabets(spark, letters):
     rng = np.random.RandomState(5)
@@ -602,7 +634,7 @@ PAGES = [
     ("<p>cut off <b>here", "cut off here"),
     ("<article>a < b and c > d <p title=\"x>y\">q &#233;&eacute; &unknown;</p><textarea>no</textarea></article>", "a < b and c > d q éé &unknown;"),
     ("<table><tr><td>1<td>2<tr><td>3</table>", "1 2 3"),
-    ("<article><div class='share'>no</div>keep<div hidden>no</div></article><article>two</article>", "keep two"),
+    ("<article><div class='share-links'>no</div>keep<div class=ad>no</div><div hidden>no</div></article><article>two</article>", "keep two"),
     ("<body class=has-sidebar><div class='content with-sidebar'><div class=page-header>no</div>yes</div>", "yes"),
     ("<article><header class=post-header><h1>T</h1></header><p>x</p><div class='cookie-notice alert'>no</div></article><section id=responses>no</section>", "T x"),
     ("", ""),
@@ -618,8 +650,15 @@ def test_html_of_a_page(page, want):
 
 
 def test_html_ids_made_of_headings_stay():
-    page = "<article><h2 id=discussion>a</h2><h2 id='how-to-share-data'>b</h2><section id='related-work'>c</section><section id='social-history' class='social-history'>d</section><div class='share-buttons'>no</div><div id=comments>no</div></article>"
-    assert html_text.blocks_of(html_text.content_roots(html_text.parse(page))) == "a b c d"
+    page = "<article><h2 id=discussion>a</h2><h2 id='how-to-share-data'>b</h2><section id='related-work'>c</section><section id='social-history' class='social-history'>d</section><div class='share-buttons'>no</div><div id=comments>no</div><table class=table-footer><tr><td>e<tr><td>f</table><p class=alert>g</p><div class=consent>h</div><label>i</label><section id=discussion>j</section></article>"
+    assert html_text.blocks_of(html_text.content_roots(html_text.parse(page))) == "a b c d e f g h i j"
+
+
+def test_html_of_broken_markup_takes_time_in_proportion():
+    began = time.perf_counter()
+    for page in ("<b>" * 50_000 + "x" + "</i>" * 50_000, "<div>" * 50_000 + "x" + "</div>" * 50_000 + "y", "<li><ul>" + "<b>" * 30_000 + "<li>x</li>" * 30_000, "<p><i>" + "<b>" * 30_000 + "<br>x" * 30_000, "<table>" + "<tr><td>x" * 30_000):
+        assert html_text.blocks_of(html_text.content_roots(html_text.parse(page)), {1: 0.0}).startswith("x")
+    assert time.perf_counter() - began < 20
 
 
 def test_html_query(spark, data):
@@ -648,3 +687,38 @@ def test_style_tree_removes_what_repeats(spark):
     assert got[200] == ["All rights reserved here Our shop one story"]  # equal pages count once
     assert got[300] == ["", ""] and got[301] == ["x", "x"]
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_style_tree_decides_inside_articles(spark):
+    """Branches of no plain name: the tree alone tells boilerplate from text; without it the pages differ."""
+    rng = np.random.RandomState(2)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n))
+    made, want = [], {}
+    for i in range(40):
+        text, callout = words(30), words(8)
+        box = f"<div class=x7><p>Read our paper daily. It is good.</p><ul><li>One <b>offer</b><li>Two offers</ul>{'<i>rare</i>' if i == 3 else ''}</div>"
+        page = f"<article><h1>Title {i}</h1><div class=alert>{callout}</div><div class=notice>Our terms have changed.</div>{box}<p>{text}<p>Signed: <em>{words(1)}</em></p></article>"
+        made.append((i, "http://h.x/" + str(i), page))
+        want[i] = f"Title {i} {callout} {'rare ' if i == 3 else ''}{text} Signed: {words(0)}"
+    df = spark.createDataFrame(made, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    off = {r.page_id: r.text for r in html_text.extract(df, min_pages=1000).collect()}
+    assert all("Read our paper" in off[i] and "Our terms" in off[i] for i in off)
+    for i, t in got.items():
+        assert "Read our paper" not in t and "offer" not in t and "Our terms" not in t, t
+        assert t.startswith(want[i].rsplit(" Signed", 1)[0]), (t, want[i])
+    # entropies by recounting
+    seen = collections.defaultdict(list)
+    for _, _, page in made:
+        found = html_text.styles_of(html_text.content_roots(html_text.parse(page)))
+        for path, content, shape in found:
+            seen[path].append((content, shape))
+    entropy = lambda x: -sum(n / len(x) * math.log2(n / len(x)) for n in collections.Counter(x).values()) / math.log2(len(x))
+    brute = {p: 0.9 * entropy([c for c, _ in x]) + 0.1 * entropy([s for _, s in x]) for p, x in seen.items() if len(x) >= 8}
+    there = {r.path: r.importance for r in html_text.importances(df.select("url", "html")).collect()}
+    assert there.keys() == {p for p, i in brute.items() if i < html_text.MIN_DOUBTFUL - 1e-9} and all(abs(there[p] - brute[p]) < 1e-9 for p in there)
+
+
+def test_style_tree_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "BROADCAST_ROWS", 0)
+    test_style_tree_removes_what_repeats(spark)
