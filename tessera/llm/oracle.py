@@ -14,10 +14,19 @@ def _lower(x: str) -> str:
     return f"translate({x}, '{ASCII_UPPER}', '{ASCII_LOWER}')"
 
 
+def _pattern_sql(text: str) -> str:
+    """A pattern without * as plain string tests over rest (what follows ://, lower-cased) and host."""
+    if text.startswith("||"):  # all of it is of the host, at the start of a label
+        return f"contains('.' || host, {_text('.' + text[2:])})"
+    if "^" in text:  # separators become spaces, and one stands at the end
+        return f"contains(regexp_replace(rest, '[^a-z0-9_.%-]', ' ', 'g') || ' ', {_text(text.replace('^', ' '))})"
+    return f"contains(rest, {_text(text)})"
+
+
 def url_filter_sql() -> str:
     parts = r"'(?s)^.*?://([^/?#]*)([^?#]*)'"
     rules = ", ".join(f"({_text(v)}, {_text(t)}, {_text(t.split('/')[0])}, {_text('/' + t.split('/', 1)[1])})" for v, t in url_filter.HOST_RULES)
-    hit = lambda verdict: " OR ".join(f"regexp_matches(rest, {_text(url_filter.pattern_rule(v, t)[3])})" for v, t in url_filter.PATTERN_RULES if v == verdict) or "false"
+    hit = lambda verdict: " OR ".join(_pattern_sql(t) for v, t in url_filter.PATTERN_RULES if v == verdict) or "false"
     return f"""WITH u AS (SELECT page_id, COALESCE({_lower(f"regexp_extract(url, {parts}, 1)")}, '') AS host, COALESCE(regexp_extract(url, {parts}, 2), '') AS path,
 COALESCE({_lower("regexp_extract(url, '(?s)^.*?://(.*)$', 1)")}, '') AS rest FROM pages), r(verdict, rule, h, p) AS (VALUES {rules})
 SELECT page_id, host, path, best.rule AS rule, COALESCE(best.verdict, CASE WHEN {hit('allow')} THEN 'allow' WHEN {hit('block')} THEN 'block' ELSE 'allow' END) AS verdict

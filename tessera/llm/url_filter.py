@@ -3,13 +3,12 @@
 Every rule is a regular expression with literal tokens that any URL it matches
 must hold whole. The index files each rule under that one of its tokens which
 the fewest URLs hold; the tokens of a URL then fetch the candidate rules, and
-only those run their expressions. Only DataFrame functions are used.
+only those run their expressions. Rules are rows of a table, of any number, and
+are compiled by DataFrame functions too, as is all else here.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,30 +19,39 @@ HOST_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "exampl
 #: Patterns for URLs that no host rule fits. "||": start of a host label; "^": a character that is none of a-z 0-9 _ . % -, or the end; "*": anything.
 PATTERN_RULES = (
     ("block", "||casino-"), ("block", "||casino."), ("block", "-casino."), ("block", "||poker-"), ("block", "||free-bets."), ("block", "||bet-"), ("block", "||cheap-pills."), ("block", "||pills-"),
-    ("block", "||viagra"), ("block", "||adult-"), ("block", "||adult."), ("block", "||porn"), ("block", "||xxx."), ("block", "||spam-"), ("block", "||malware."), ("block", "||phishing."), ("block", "||warez."), ("block", "||torrent."),
+    ("block", "||viagra."), ("block", "||viagra-"), ("block", "||adult-"), ("block", "||adult."), ("block", "||porn."), ("block", "||porn-"), ("block", "||xxx."), ("block", "||spam-"), ("block", "||malware."), ("block", "||phishing."), ("block", "||warez."), ("block", "||torrent."),
     ("block", "^phishing^"), ("block", "^doubleclick^"),
 )
 
 
-def host_rule(verdict: str, text: str) -> tuple:
-    """(kind, text, verdict, regular expression over host and path, tokens)."""
-    return "host", text, verdict, r"^(?:[^/]*\.)?" + re.sub(r"([^A-Za-z0-9/])", r"\\\1", text), [t.lower() for t in re.findall(r"[A-Za-z0-9]+(?=[^A-Za-z0-9])", text)]
+#: What a rule's row holds: host or pattern, its verdict (allow or block) and its text.
+RULE = "kind string, verdict string, text string"
+
 
+def rules_frame(spark: SparkSession, host_rules=HOST_RULES, pattern_rules=PATTERN_RULES) -> DataFrame:
+    """A few rules as a table (RULE); long lists are read from one."""
+    rows = [F.struct(F.lit(kind).alias("kind"), F.lit(verdict).alias("verdict"), F.lit(text).alias("text")) for kind, rules in (("host", host_rules), ("pattern", pattern_rules)) for verdict, text in rules]
+    return spark.range(1).select(F.inline(F.array(*rows) if rows else F.array().cast(f"array<struct<{RULE.replace(' ', ':')}>>".replace(",:", ","))))
 
-def pattern_rule(verdict: str, text: str) -> tuple:
-    """(kind, text, verdict, regular expression over what follows ://, A-Z lower-cased, tokens)."""
-    body, start = text.lower(), ""
-    if body.startswith("||"):
-        body, start = body[2:], r"^(?:[^/?#]*\.)?"
-    expression = start + "".join({"*": ".*", "^": r"(?:[^a-z0-9_.%-]|$)"}.get(c, c if re.match("[a-z0-9]", c) else "\\" + c) for c in body)
-    # a token is sure to stand whole in the URL only between characters that are no part of tokens
-    edged = ("." if start else "*") + body.replace("^", "/") + "*"
-    return "pattern", text, verdict, "(?s)" + expression, re.findall(r"(?<=[^a-z0-9*])[a-z0-9]+(?=[^a-z0-9*])", edged)
 
+def compiled(rules: DataFrame) -> DataFrame:
+    """The rules (RULE), each once, with the regular expression and the tokens of each.
 
-def rules_frame(spark: SparkSession, rules: list[tuple]) -> DataFrame:
-    rows = [F.struct(F.lit(i).alias("rule_id"), F.lit(kind).alias("kind"), F.lit(text).alias("text"), F.lit(verdict).alias("rule_verdict"), F.lit(regex).alias("regex"), F.array(*map(F.lit, tokens)).cast("array<string>").alias("rule_tokens")) for i, (kind, text, verdict, regex, tokens) in enumerate(rules)]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    A host rule's expression is over host and path, a pattern's over what follows ://, A-Z
+    lower-cased. A token is sure to stand whole in a URL that fits only between characters that are no
+    part of tokens. Rules without text or of another kind are left out.
+    """
+    text, at_label = F.col("text"), F.startswith("text", F.lit("||"))
+    body = ascii_lower(F.when(at_label, F.substring("text", 3, 1 << 30)).otherwise(text))
+    host = F.concat(F.lit(r"^(?:[^/]*\.)?"), F.regexp_replace(text, r"([^A-Za-z0-9/])", r"\\$1"))
+    escaped = F.regexp_replace(body, r"([^a-z0-9*^])", r"\\$1")
+    pattern = F.concat(F.when(at_label, r"(?s)^(?:[^/?#]*\.)?").otherwise("(?s)"), F.replace(F.replace(escaped, F.lit("*"), F.lit(".*")), F.lit("^"), F.lit("(?:[^a-z0-9_.%-]|$)")))
+    edged = F.concat(F.when(at_label, ".").otherwise("*"), F.replace(body, F.lit("^"), F.lit("/")), F.lit("*"))
+    of_host = ascii_lower(F.regexp_replace(text, "[A-Za-z0-9]+$", ""))  # the last token may go on in the URL
+    words = lambda c, regex: F.regexp_extract_all(c, F.lit(regex), F.lit(0))
+    is_host = F.col("kind") == "host"
+    out = rules.where("text IS NOT NULL AND kind IN ('host', 'pattern')").select("kind", F.col("verdict").alias("rule_verdict"), "text").distinct()
+    return out.select("*", F.when(is_host, host).otherwise(pattern).alias("regex"), F.when(is_host, words(of_host, "[a-z0-9]+")).otherwise(words(edged, r"(?<=[^a-z0-9*])[a-z0-9]+(?=[^a-z0-9*])")).alias("rule_tokens"))
 
 
 def url_host(url: Column) -> Column:
@@ -60,16 +68,19 @@ def tokens_of(url: Column) -> Column:
 
 
 def rule_index(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """The rules with the token each is filed under: its rarest in the urls; "" for rules without tokens, which any URL fetches."""
-    wanted = rules.select(F.explode("rule_tokens").alias("token")).distinct()
+    """The compiled rules with the token each is filed under: its rarest in the urls; "" for rules without tokens, which any URL fetches."""
+    rule = ["kind", "text", "rule_verdict", "regex"]
+    filed = rules.select(*rule, F.explode_outer("rule_tokens").alias("token"))
+    wanted = filed.select("token").where("token IS NOT NULL").distinct()
     counts = urls.select(F.explode(tokens_of(F.col("url"))).alias("token")).join(wanted, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("urls"))
-    filed = rules.select("rule_id", F.explode_outer("rule_tokens").alias("token")).join(counts, "token", "left").groupBy("rule_id").agg(F.min(F.struct(F.coalesce("urls", F.lit(0)).alias("urls"), "token")).alias("rarest"))
-    return rules.join(filed, "rule_id").select(F.coalesce("rarest.token", F.lit("")).alias("token"), "kind", "text", "rule_verdict", "regex")
+    rarest = filed.join(counts, "token", "left").groupBy(*rule).agg(F.min(F.struct(F.coalesce("urls", F.lit(0)).alias("urls"), "token")).alias("rarest"))
+    return rarest.select(F.coalesce("rarest.token", F.lit("")).alias("token"), *rule)
 
 
-def judge(pages: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RULES, default: str = "allow", id_column: str = "page_id", url_column: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame | None = None, default: str = "allow", id_column: str = "page_id", url_column: str = "url") -> DataFrame:
     """A verdict on every URL: page_id, url, host, path, rule, verdict, pattern.
 
+    rules: a table (RULE) of any number of rules; without one, those of this module.
     Of the host rules that fit, the longest text wins (of equal ones the later
     in code point order). If none fits, an allowing pattern that matches wins
     over a blocking one, and without either the verdict is `default`.
@@ -78,9 +89,8 @@ def judge(pages: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RULES,
     columns are ignored.
     """
     rows = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).cast("string").alias("url"))
-    rules = rules_frame(rows.sparkSession, [host_rule(*r) for r in host_rules] + [pattern_rule(*r) for r in pattern_rules])
     known = rows.select("url").where(F.col("url").contains("://"))
-    index = rule_index(known, rules)
+    index = rule_index(known, compiled(rules if rules is not None else rules_frame(rows.sparkSession)))
     candidates = known.select("url", F.explode(tokens_of(F.col("url"))).alias("token")).join(index, "token")
     subject = F.when(F.col("kind") == "host", F.concat(url_host(F.col("url")), url_path(F.col("url")))).otherwise(ascii_lower(F.regexp_extract("url", r"(?s)^.*?://(.*)$", 1)))
     hits = candidates.where(F.regexp_like(subject, F.col("regex")))
