@@ -116,7 +116,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_c
     Every document is judged by its whole text. Null text: no words, so
     base_failed. Empty labels: all scores are 0, and the base rules decide.
     Repeated rows each count and stay; an empty table gives no rows.
-    Columns of docs stay; those named like the added ones are replaced.
+    Columns of docs stay, whatever their names; those named like the added ones are replaced.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
     slim = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
@@ -125,16 +125,18 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_c
 
     def score(batches):
         for batch in batches:
-            for b in slices(batch, "__text"):
-                stats, words, starts = base_stats(b.column("__text"))
+            for b in slices(batch):
+                stats, words, starts = base_stats(b.column("text"))
                 buckets, of = ngram_buckets(words, starts)
                 sums = np.bincount(of, weights=ratios.value[buckets.astype(np.int64)], minlength=b.num_rows) if len(of) else np.zeros(b.num_rows)
                 stats["score"] = np.round(sums / np.maximum(1, np.bincount(of, minlength=b.num_rows)), 6)
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], *[pa.array(x) for x in stats.values()]], [*columns, *stats])
+                yield pa.RecordBatch.from_arrays([b.column("row"), *map(pa.array, stats.values())], ["row", *stats])
 
-    schema = docs.select(*columns).schema
+    # the row is one column here, so that its names can't clash
+    rows = docs.select(F.struct(*columns).alias("row"), F.col(text_column).cast("string").alias("text"))
+    schema = rows.select("row").schema
     for field in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"):
         schema = schema.add(field, "long")
-    out = docs.select(*columns, F.col(text_column).cast("string").alias("__text")).mapInArrow(score, schema.add("score", "double"))
+    out = rows.mapInArrow(score, schema.add("score", "double"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold)).select("row.*", *added)
