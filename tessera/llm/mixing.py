@@ -59,15 +59,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
     a source. Reruns agree whatever the partitions: draws hash the id.
     Null text has size 0, null ids draw alike. Rows with one id share a draw but are
     counted one by one. A source's words stay below its target by less than the
-    shortest of the TAIL documents that were too long. An empty table gives no rows. Columns of docs stay; those named
+    shortest of the TAIL documents that were too long. An empty table gives no rows. Columns of docs stay, whatever their names; those named
     like the four added are replaced.
     """
     added = ["size", "source_size", "target", "copies"]
     columns = [c for c in docs.columns if c not in added]
-    rows = docs.select(*[c for c in columns], F.coalesce(F.regexp_count(F.col(text_column), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
     score = F.coalesce(F.col(score_column).cast("double"), F.lit(0.0)) if score_column else F.lit(1.0)
-    own = lambda df: df.select("*", F.col(source_column).alias("__source"), F.col(id_column).alias("__id"), uniform(F.col(id_column), seed).alias("__u"), score.alias("__score"))
-    slim = checkpointed(own(rows).select(F.col("__source").alias("source"), F.col("__id").alias("id"), F.col("__u").alias("u"), F.col("__score").alias("score"), "size"))
+    # the row is one column here, so that its names can't clash
+    rows = docs.select(F.struct(*columns).alias("row"), F.coalesce(F.regexp_count(F.col(text_column), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), F.col(source_column).alias("source"), F.col(id_column).alias("id"), uniform(F.col(id_column), seed).alias("u"), score.alias("score"))
+    slim = checkpointed(rows.select("source", "id", "u", "score", "size"))
     totals = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("score")).alias("scored"))
     aims = targets(totals, weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -75,16 +75,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
 
     few = aims.count() <= BROADCAST_SOURCES  # else Spark joins by source and splits hot ones
 
-    def ranked(df: DataFrame, of: DataFrame, source: str, u: str, score: str) -> DataFrame:
+    def ranked(df: DataFrame, of: DataFrame) -> DataFrame:
         """With what the documents' source aims at, and odds(u) / odds(probability) as __rank, its bucket as __bucket."""
         of = of.withColumnRenamed("source", "__of")
-        out = df.join(F.broadcast(of) if few else of, F.col(source).eqNullSafe(F.col("__of"))).drop("__of")
-        p = F.col("part") * F.col(score) * F.when(F.col("scored") > 0, F.col("source_size") / F.col("scored")).otherwise(0.0) if score_column else F.col("part")
-        rank = F.when(p >= 1, 0.0).when(p > 0, (F.col(u) / (1 - F.col(u))) / (p / (1 - p))).otherwise(F.lit(float("inf")))
+        out = df.join(F.broadcast(of) if few else of, F.col("source").eqNullSafe(F.col("__of"))).drop("__of")
+        p = F.col("part") * F.col("score") * F.when(F.col("scored") > 0, F.col("source_size") / F.col("scored")).otherwise(0.0) if score_column else F.col("part")
+        rank = F.when(p >= 1, 0.0).when(p > 0, (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))).otherwise(F.lit(float("inf")))
         out = out.withColumn("__rank", rank)
         return out.withColumn("__bucket", F.when(F.col("__rank") == float("inf"), BUCKETS).otherwise(F.floor(F.col("__rank") / (1 + F.col("__rank")) * BUCKETS)).cast("int"))
 
-    words = ranked(slim, aims, "source", "u", "score").where("part > 0").groupBy("source", "__bucket").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"))
+    words = ranked(slim, aims).where("part > 0").groupBy("source", "__bucket").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"))
     up_to = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     words = words.select("*", F.coalesce(F.sum("words").over(up_to), F.lit(0)).alias("before"), F.coalesce(F.sum("rows").over(up_to), F.lit(0)).alias("rows_before"))
     # the sample ends in the first bucket that holds more than what is left, or soon after it
@@ -96,23 +96,25 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
     none = F.lit(BUCKETS + 1)
     bounds = aims.select("source", "source_size", "target", "scored", F.col("whole").alias("__whole"), "part", F.col("left").alias("__left"), F.col("before").alias("__before"), F.coalesce("first", none).alias("__first"), F.coalesce("last", none).alias("__last"))
 
-    parted = ranked(own(rows), bounds, "__source", "__u", "__score")
+    parted = ranked(rows, bounds)
     at_end = F.col("__bucket").between(F.col("__first"), F.col("__last"))
     sure = parted.where(~at_end).withColumn("copies", F.col("__whole") + F.when((F.col("part") > 0) & (F.col("__bucket") < F.col("__first")), 1).otherwise(0))
-    order = Window.partitionBy("__source").orderBy("__rank", "__id", "size")
+    order = Window.partitionBy("source").orderBy("__rank", "id", "size")
     # the few documents about where the samples end
     edge = checkpointed(parted.where(at_end)).select("*", F.row_number().over(order).alias("__n"), (F.col("__before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("__with"))
     fits = F.col("__with") <= F.col("__left")
-    behind = edge.groupBy("__source").agg((F.first("__left") - F.first("__before") - F.coalesce(F.sum(F.when(fits, F.col("size"))), F.lit(0))).alias("gap"), F.count_if(fits).alias("fit"), F.min(F.when(~fits, F.col("__n"))).alias("from"))
-    rest = edge.select("__source", "__n", "size", fits.alias("fits")).join(behind.withColumnRenamed("__source", "__of"), F.col("__source").eqNullSafe(F.col("__of"))).where(~F.col("fits") & (F.col("__n") < F.col("from") + TAIL))
-    fill = rest.groupBy("__source").agg(F.first("gap").alias("gap"), F.array_sort(F.collect_list(F.struct("__n", "size"))).alias("ranks"))  # TAIL ranks a source at most
-    fill = fill.select(F.col("__source").alias("__of"), F.aggregate("ranks", F.struct(F.col("gap").alias("gap"), F.array().cast("array<int>").alias("taken")), lambda a, x: F.when(x["size"] <= a["gap"], F.struct((a["gap"] - x["size"]).alias("gap"), F.concat(a["taken"], F.array(x["__n"])).alias("taken"))).otherwise(a), lambda a: a["taken"]).alias("__taken"))
-    edge = edge.join(fill, F.col("__source").eqNullSafe(F.col("__of")), "left")
+    behind = edge.groupBy("source").agg((F.first("__left") - F.first("__before") - F.coalesce(F.sum(F.when(fits, F.col("size"))), F.lit(0))).alias("gap"), F.count_if(fits).alias("fit"), F.min(F.when(~fits, F.col("__n"))).alias("from"))
+    rest = edge.select("source", "__n", "size", fits.alias("fits")).join(behind.withColumnRenamed("source", "__of"), F.col("source").eqNullSafe(F.col("__of"))).where(~F.col("fits") & (F.col("__n") < F.col("from") + TAIL))
+    fill = rest.groupBy("source").agg(F.first("gap").alias("gap"), F.array_sort(F.collect_list(F.struct("__n", "size"))).alias("ranks"))  # TAIL ranks a source at most
+    fill = fill.select(F.col("source").alias("__of"), F.aggregate("ranks", F.struct(F.col("gap").alias("gap"), F.array().cast("array<int>").alias("taken")), lambda a, x: F.when(x["size"] <= a["gap"], F.struct((a["gap"] - x["size"]).alias("gap"), F.concat(a["taken"], F.array(x["__n"])).alias("taken"))).otherwise(a), lambda a: a["taken"]).alias("__taken"))
+    edge = edge.join(fill, F.col("source").eqNullSafe(F.col("__of")), "left")
     edge = edge.withColumn("copies", F.col("__whole") + F.when(fits | F.coalesce(F.array_contains("__taken", F.col("__n")), F.lit(False)), 1).otherwise(0))
-    out = [*columns, "size", "source_size", "target", F.col("copies").cast("bigint").alias("copies")]
-    return sure.select(*out).unionByName(edge.select(*out))
+    out = ["row", "size", "source_size", "target", F.col("copies").cast("bigint").alias("copies")]
+    return sure.select(*out).union(edge.select(*out)).select("row.*", *added)
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
     """A row for each copy that the mix takes, without the columns that mix() adds."""
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("copies"), F.lit(1))))).where("copies > 0").drop("__copy", "size", "source_size", "target", "copies")
+    columns = [c for c in mixed.columns if c not in ("size", "source_size", "target", "copies")]
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return mixed.where("copies > 0").select(F.struct(*columns).alias("row"), copies.alias("copy")).select("row.*")
