@@ -3,9 +3,9 @@
 1. Each text gives its set of word shingles, SIGNATURE minimum hashes and a
    digest of the set. Texts with one set are one class, kept by its smallest id.
 2. Every class posts under its (coordinate, value) pairs. Two classes match if
-   they share MATCHES pairs or more. Pairs of one class alone match nothing, so
-   a class with fewer than MATCHES others is done; of the rest it is
-   enough to post the rarest (its pairs that count less MATCHES less 1): two that match
+   they share enough pairs (matches()). Pairs of one class alone match nothing, so
+   a class with fewer others is done; of the rest it is
+   enough to post the rarest (its pairs that count less the matches less 1): two that match
    must meet there (prefix merging).
 3. Postings are merged star by star: members meet one pivot, pairs that a
    longer signature says are far apart go, and the others are confirmed on the full sets. After
@@ -21,6 +21,8 @@ group, and the driver gets a bitmap of fixed size and row counts only.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,10 +32,10 @@ from tessera.llm._common import checkpointed, lowered, mix64, release, slices, t
 from tessera.llm.components import connected
 
 SHINGLE, SIMILARITY = 3, 0.85
-#: Coordinates of a signature, and how many two classes must share. Of pairs at 0.85, 1 in 200,000 shares fewer; see README.
-SIGNATURE, MATCHES = 64, 40
-#: One-byte coordinates of the longer signature, and how many a pair must share before its sets are compared (five standard deviations below 0.85).
-LONG, LONG_MATCHES = 256, 189
+#: Coordinates of a signature, and one-byte coordinates of the longer one.
+SIGNATURE, LONG = 64, 256
+#: Standard deviations below the similarity asked for at which a count of equal coordinates still is a match. At 0.85 that is 40 of 64, which 1 in 200,000 pairs misses; see README.
+DEVIATIONS = 5
 #: Mergings with pivots before the last one.
 PIVOT_ROUNDS = 2
 #: Members of a posting that are compared with each other in one task.
@@ -43,6 +45,12 @@ BITMAP = 1 << 23
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
+def matches(percent: int, coordinates: int) -> int:
+    """How many coordinates two classes must share."""
+    p = percent / 100
+    return max(1, math.floor(coordinates * p - DEVIATIONS * math.sqrt(coordinates * p * (1 - p))))
+
+
 def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts in order, and where each text's begin. Texts of fewer words have one shingle: all of them."""
     flat, starts = words_of(lowered(texts))
@@ -93,12 +101,12 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, d1 bigint, d2 bigint, keys array<bigint>")
 
 
-def postings(classes: DataFrame) -> DataFrame:
-    """(key, id, n) of the prefixes of classes (id, n, keys), where two or more classes meet."""
+def postings(classes: DataFrame, least: int) -> DataFrame:
+    """(key, id, n) of the prefixes of classes (id, n, keys), where two or more classes meet; least: pairs that a match shares."""
     posted = classes.select(F.explode("keys").alias("key"), "id", "n")
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
     own = posted.join(shared, "key").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("classes", "key"))).alias("keys"))  # SIGNATURE keys an id at most
-    prefix = own.where(F.size("keys") >= MATCHES).select("id", "n", F.explode(F.slice("keys", F.lit(1), F.size("keys") - (MATCHES - 1))).alias("x")).select("x.key", "id", "n")
+    prefix = own.where(F.size("keys") >= least).select("id", "n", F.explode(F.slice("keys", F.lit(1), F.size("keys") - (least - 1))).alias("x")).select("x.key", "id", "n")
     meet = prefix.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     return checkpointed(prefix.join(meet, "key").select("key", "id", "n"))
 
@@ -129,12 +137,13 @@ def sets_of(docs: DataFrame, ids: DataFrame, repeated: bool) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
+    long_matches = matches(percent, LONG)
 
     def alike(batches):
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, LONG) for c in ("long_a", "long_b"))
-                batch = batch.filter(pa.array((a == b).sum(axis=1) >= LONG_MATCHES))
+                batch = batch.filter(pa.array((a == b).sum(axis=1) >= long_matches))
             yield batch.select(["a", "b"])
 
     def same(batches):
@@ -169,6 +178,7 @@ def across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     other. All other pairs are compared, each in the first key that they share. A key with
     more than BLOCK members is dealt out as pairs of blocks. Pairs live in the tasks' memory only.
     """
+    long_matches = matches(percent, LONG)
     sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
     largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("members", "component")).alias("largest"), F.ceil(F.sum("members") / BLOCK).alias("blocks"))
     own = rows.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # a prefix at most
@@ -209,7 +219,7 @@ def across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             seen: set[int] = set()
             mine = half[ends[y] : ends[y + 1]]
             for o in np.argsort(-same, kind="stable"):
-                if same[o] < LONG_MATCHES:
+                if same[o] < long_matches:
                     break
                 x = near[o]
                 if component[x] in seen:
@@ -278,7 +288,7 @@ def groups(docs: DataFrame, percent: int = round(100 * SIMILARITY), id_column: s
     firsts = some.groupBy(*digest).agg(F.min("doc_id").alias("first"))
     members = checkpointed(some.select("doc_id", *digest).join(firsts, digest).select("doc_id", "first"))
     classes = signed.join(firsts, digest).where("doc_id = first").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "keys").dropDuplicates(["id", "n"])
-    posted = postings(classes)
+    posted = postings(classes, matches(percent, SIGNATURE))
     del classes
     release(docs.sparkSession)
     repeated = not members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
@@ -300,10 +310,10 @@ def groups(docs: DataFrame, percent: int = round(100 * SIMILARITY), id_column: s
 def deduplicated(docs: DataFrame, percent: int = round(100 * SIMILARITY), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents, one of each group of near-duplicates; of several rows with the id that stays, one. Columns stay."""
     found = groups(docs, percent, id_column, text_column)
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    rows = docs.join(gone, F.col(id_column) == F.col("__gone"), "left_anti")
-    twice = checkpointed(found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__twice")))
-    if twice.isEmpty():
-        return rows
-    many = rows.join(twice, F.col(id_column) == F.col("__twice"), "left_semi").dropDuplicates([id_column])
-    return rows.join(twice, F.col(id_column) == F.col("__twice"), "left_anti").unionByName(many)
+    # the row is one column here, so that its names can't clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_column).alias("id"))
+    rows = rows.join(found.where("not kept").select(F.col("doc_id").alias("id")).distinct(), "id", "left_anti")
+    twice = checkpointed(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"))
+    if not twice.isEmpty():
+        rows = rows.join(twice, "id", "left_anti").unionByName(rows.join(twice, "id", "left_semi").dropDuplicates(["id"]))
+    return rows.select("row.*")

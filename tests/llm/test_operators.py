@@ -35,7 +35,7 @@ def odd(spark):
     """Documents with nulls, empty, blank and long texts, repeated rows, repeated ids and clashing columns."""
     long = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
     docs = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, " \t\n ", "en", "a", 3), (4, long, "en", "a", 1), (5, long, "en", None, 1), (6, "One two three four five six seven eight nine ten eleven", "en", "b", 1), (6, "One two three four five six seven eight nine ten eleven", "en", "b", 1), (7, "one", "de", "b", 1), (8, "ONE", "de", "b", 1), (None, "no id at all here", "en", "b", 1), (9, "été 中文 😀 A\u00a0b", "fr", "c", 1)]
-    return spark.createDataFrame(docs, DOCS).withColumns({c: F.lit(0) for c in ("kept", "size", "score", "secrets", "copies", "id", "queue", "key", "component")}).repartition(3)
+    return spark.createDataFrame(docs, DOCS).withColumns({c: F.lit(0) for c in ("kept", "size", "score", "secrets", "copies", "id", "queue", "key", "component", "part", "scored", "__text", "__0", "__source", "row", "u", "base", "copy", "found")}).repartition(3)
 
 
 # --- words
@@ -143,19 +143,46 @@ def test_url_filter(spark, data):
         assert (r.page_id, r.host, r.path, r.rule) == (p, *judged(u)[:3]) and (r.verdict == judged(u)[3] if r.rule else r.verdict in ("allow", "block"))
 
 
+def pattern_by_hand(text, after):
+    """Whether a pattern fits, character by character."""
+
+    def fits(t, s):
+        if not t:
+            return True
+        if t[0] == "*":
+            return any(fits(t[1:], s[i:]) for i in range(len(s) + 1))
+        if t[0] == "^":
+            return not s and fits(t[1:], s) or bool(s) and not re.match("[a-z0-9_.%-]", s[0]) and fits(t[1:], s[1:])
+        return bool(s) and s[0] == t[0] and fits(t[1:], s[1:])
+
+    if text.startswith("||"):
+        host = re.match("[^/?#]*", after)[0]
+        return any(fits(text[2:], after[i:]) for i in range(len(host) + 1) if i == 0 or after[i - 1] == ".")
+    return any(fits(text, after[i:]) for i in range(len(after) + 1))
+
+
 def test_url_index_is_lossless(spark):
-    patterns = [("block", "||ads."), ("block", "/banner^"), ("block", "track*er"), ("allow", "||good.ads."), ("block", "q=1")]
-    urls = ["http://ads.x.com/", "http://good.ads.x.com/", "http://a.com/banner", "http://a.com/banners", "http://a.com/trackAer", "http://a.com/?q=1", "http://bads.x.com/"]
-    got = {r.url: r.pattern for r in url_filter.judge(spark.createDataFrame([(1, u) for u in urls], "page_id int, url string"), (), patterns).collect()}
+    patterns = [("block", "||ads."), ("block", "/banner^"), ("block", "track*er"), ("allow", "||good.ads."), ("block", "q=1"), ("block", "a+b(c"), ("block", "||x^")]
+    urls = ["http://ads.x.com/", "http://good.ads.x.com/", "http://a.com/banner", "http://a.com/banners", "http://a.com/trackAer", "http://a.com/?q=1", "http://bads.x.com/", "http://a/A+b(c", "http://a/aab(c", "http://y.x", "http://x.y", "http://w.x/"]
+    got = {r.url: r.pattern for r in url_filter.judge(spark.createDataFrame([(1, u) for u in urls], "page_id int, url string"), url_filter.rules_frame(spark, (), patterns)).collect()}
     for u in urls:
         after = u.split("://")[1].lower()
-        hits = {v: t for v, t in patterns if re.search(url_filter.pattern_rule(v, t)[3], after)}
-        assert got[u] == (hits.get("allow") or (max((t for v, t in patterns if v == "block" and re.search(url_filter.pattern_rule(v, t)[3], after)), key=lambda t: (len(t), t), default=None)))
+        best = lambda verdict: max(((len(t), t) for v, t in patterns if v == verdict and pattern_by_hand(t, after)), default=(0, None))[1]
+        assert got[u] == (best("allow") or best("block")), u
+
+
+def test_url_rules_of_a_large_table(spark):
+    """Ten thousand rules, with repeats, nulls and unknown kinds."""
+    made = [("pattern", "block", f"||bad{i}.") for i in range(10_000)] + [("pattern", "block", "||bad7."), ("host", "allow", "bad8.x/"), ("pattern", "block", None), ("other", "block", "http")]
+    rules = spark.createDataFrame(made, url_filter.RULE)
+    urls = [f"http://www.bad{i}.x/" for i in range(0, 12_000, 1000)] + ["http://bad8.x/", "http://xbad7.y/"]
+    got = {r.url: r.verdict for r in url_filter.judge(spark.createDataFrame([(1, u) for u in urls], "page_id int, url string"), rules).collect()}
+    assert got == {u: "block" if u[7:].startswith("www") and int(u[14:-3]) < 10_000 else "allow" for u in urls}
 
 
 def test_rarest_token_is_the_index_key(spark):
     urls = spark.createDataFrame([("x://example.org/a",), ("x://example.org/b",), ("x://b.org/",)], "url string")
-    index = url_filter.rule_index(urls, url_filter.rules_frame(spark, [url_filter.host_rule("block", "example.org/es/")]))
+    index = url_filter.rule_index(urls, url_filter.compiled(url_filter.rules_frame(spark, [("block", "example.org/es/")], ())))
     assert index.first().token == "es"
 
 
