@@ -1,13 +1,13 @@
 """Chat formatting in budgeted windows.
 
 A conversation's turns, in order, are cut into windows of at most `budget`
-tokens (longer only where one turn is). A window repeats the system turn and
-as many whole turns before it as `history` tokens hold; prefix sums of the turns'
-tokens say where it begins and ends. The loss mask covers the texts of assistant turns
+tokens of formatted text (longer only where one turn, with the system turn, is). A window repeats the last system turn
+before it and as many whole turns as `history` tokens hold; prefix sums of the turns'
+tokens, searched by bisection, say where it and its history begin and end. The loss mask covers the texts of assistant turns
 that the window is the first to hold, so every one is learnt from once.
 
 Rows are sorted by conversation and turn, and each task reads its conversations
-as a stream: it holds one window, never a conversation.
+as a stream: it holds one window and its history, never a conversation.
 
 Template: a turn is `### role:`, a line break, the text, a line break, `</turn>`
 and a line break. In roles and texts a backslash goes before every backslash,
@@ -18,17 +18,16 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import deque
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._common import slices
 from tessera.llm.packing import token_counts
 
 BUDGET, HISTORY = 1024, 256
-#: Tokens of a turn's marks.
-MARKS = 8
 _ESCAPE, _ESCAPE_ROLE = re.compile(r"\\|###|</turn>"), re.compile(r"\\|###|</turn>|:|\n")
 _UNESCAPE = re.compile(r"\\(\\|###|</turn>|:|\n)")
 _TURN = re.compile(r"### ((?:[^\\:\n]|\\.)*):\n(.*?)\n</turn>\n", re.S)
@@ -55,43 +54,66 @@ def turns_of(formatted: str) -> list[tuple[str, str]]:
 
 
 class _Windows:
-    """The windows of one conversation, whose turns are added one by one."""
+    """The windows of one conversation, whose turns are added one by one.
+
+    A turn has a number; turns from `base` on are held, and sums[i] are the tokens before turn base + i. The
+    window under way has the turns from `first` on, and repeats those from `start` on and, if it lies before them, the system turn.
+    """
 
     def __init__(self, conv, budget: int, history: int, put):
         self.conv, self.budget, self.history, self.put = conv, budget, history, put
-        self.system, self.context, self.new, self.number, self.turns = None, deque(), [], 0, 0
+        self.base, self.turns, self.sums = 0, [], [0]
+        self.first = self.start = self.window = 0
+        self.system: tuple | None = None  # (number, tokens, turn) of the last system turn before the window
+
+    def before(self, turn: int) -> int:
+        """Tokens before a turn that is held."""
+        return self.sums[turn - self.base]
 
-    def tokens(self, turns) -> int:
-        return sum(t[0] for t in turns)
+    def holds(self, until: int) -> int:
+        """Tokens of the window if it ended before a turn."""
+        apart = self.system is not None and self.system[0] < self.start
+        return self.before(until) - self.before(self.start) + (self.system[1] if apart else 0)
 
     def add(self, role: str, text: str, tokens: int) -> None:
-        turn = (tokens, role, *turn_text(role, text))
-        held = (self.system[0] if self.system else 0) + self.tokens(self.context) + self.tokens(self.new)
-        if self.new and held + tokens > self.budget:
-            self.close()
-            held = (self.system[0] if self.system else 0) + self.tokens(self.context)
-        while not self.new and self.context and held + tokens > self.budget:  # room for a long turn
-            held -= self.context.popleft()[0]
-        self.new.append(turn)
-
-    def close(self) -> None:
-        if not self.new:
+        number = self.base + len(self.turns)
+        self.turns.append((role, *turn_text(role, text)))
+        self.sums.append(self.sums[-1] + tokens)
+        if number > self.first and self.holds(number + 1) > self.budget:
+            self.close(number)
+        if number == self.first:
+            self.begin()
+
+    def begin(self) -> None:
+        """Where the history of the window that begins with the last turn begins: what `history` holds, less what that turn leaves no room for."""
+        kept = self.system[1] if self.system else 0
+        by_history = bisect_left(self.sums, self.before(self.first) - self.history)
+        by_room = bisect_left(self.sums, self.before(self.first + 1) + kept - self.budget)
+        self.start = min(self.first, self.base + max(by_history, by_room))
+        del self.turns[: self.start - self.base], self.sums[: self.start - self.base]
+        self.base = self.start
+
+    def close(self, until: int) -> None:
+        """Puts the window that ends before a turn, if it has any of its own; the next one begins there."""
+        if until == self.first:
             return
-        parts, at, repeated, loss = [], 0, 0, []
-        for fresh, turn in [*[(False, t) for t in ((self.system,) if self.system else ())], *[(False, t) for t in self.context], *[(True, t) for t in self.new]]:
-            if fresh and turn[1] == "assistant":
-                loss.append({"start": at + turn[3], "end": at + turn[4]})
-            parts.append(turn[2])
-            at += len(turn[2])
-            repeated += not fresh
-        self.put((self.conv, self.number, "".join(parts), repeated, self.turns, len(self.new), loss, self.tokens(self.new) + self.tokens(self.context) + (self.system[0] if self.system else 0)))
-        self.number, self.turns = self.number + 1, self.turns + len(self.new)
-        if self.number == 1 and self.new[0][1] == "system":
-            self.system = self.new.pop(0)
-        self.context.extend(self.new)
-        while self.context and self.tokens(self.context) > self.history:
-            self.context.popleft()
-        self.new = []
+        tokens = self.holds(until)
+        shown = [t for _, _, t in (self.system,) if self.system[0] < self.start] if self.system else []
+        shown += self.turns[self.start - self.base : until - self.base]
+        repeated, at, loss = len(shown) - (until - self.first), 0, []
+        for i, (role, text, begin, end) in enumerate(shown):
+            if i >= repeated and role == "assistant":
+                loss.append({"start": at + begin, "end": at + end})
+            at += len(text)
+        self.put((self.conv, self.window, "".join(t[1] for t in shown), repeated, self.first, until - self.first, loss, tokens))
+        for number in range(self.first, until):
+            turn = self.turns[number - self.base]
+            if turn[0] == "system":
+                self.system = (number, self.before(number + 1) - self.before(number), turn)
+        self.first, self.window = until, self.window + 1
+
+    def done(self) -> None:
+        self.close(self.base + len(self.turns))
 
 
 def windows(conversations: DataFrame, tokenizer_path: str, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
@@ -121,17 +143,20 @@ def windows(conversations: DataFrame, tokenizer_path: str, budget: int = BUDGET,
 
         for batch in batches:
             arrow = batch.schema.field("conv_id").type
-            tokens = token_counts(batch.column("text"), tokenizer_path)
-            for conv, role, text, n in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), tokens.tolist(), strict=True):
-                if own is None or own.conv != conv:
-                    if own:
-                        own.close()
-                    own = _Windows(conv, budget, history, out.append)
-                own.add(role, text, n + MARKS)
-                if len(out) >= 256:
-                    yield flush()
+            for b in slices(batch):
+                convs, roles, texts = (b.column(c).to_pylist() for c in ("conv_id", "role", "text"))
+                # turns end in white space, so a window has the tokens of its turns
+                tokens = token_counts(pa.array([turn_text(r, t)[0] for r, t in zip(roles, texts, strict=True)], pa.large_string()), tokenizer_path)
+                for conv, role, text, n in zip(convs, roles, texts, tokens.tolist(), strict=True):
+                    if own is None or own.conv != conv:
+                        if own:
+                            own.done()
+                        own = _Windows(conv, budget, history, out.append)
+                    own.add(role, text, n)
+                    if len(out) >= 256:
+                        yield flush()
         if own:
-            own.close()
+            own.done()
             yield flush()
 
     return rows.mapInArrow(cut, f"conv_id {kind}, window bigint, text string, repeated bigint, first_turn bigint, new_turns bigint, loss array<struct<start:bigint,end:bigint>>, tokens bigint")

@@ -360,9 +360,25 @@ def phrases_by_hand(text, sample):
     return n
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.text("abc ", max_size=40), min_size=1, max_size=4), st.text("ab ", min_size=1, max_size=30))
-def test_cross_parsing(texts, sample):
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("abc ", max_size=60), min_size=1, max_size=4), st.text("ab ", min_size=1, max_size=30), st.sampled_from([1, 2, 3, 7, 512]))
+def test_cross_parsing(texts, sample, block):
+    """Phrases of whole texts, whatever the blocks that they are read in."""
+    old, language_id.BLOCK = language_id.BLOCK, block
+    try:
+        check_cross_parsing(texts, sample)
+    finally:
+        language_id.BLOCK = old
+
+
+def test_cross_parsing_of_a_long_copy():
+    """Phrases longer than blocks: a text that is the sample, and one that holds it many times."""
+    rng = np.random.RandomState(8)
+    sample = "".join(rng.choice(list("abcd "), 3000))
+    check_cross_parsing([sample, "x" + sample[100:] + sample[:2500] * 3, "abcd" * 500, ""], sample)
+
+
+def check_cross_parsing(texts, sample):
     parts = language_id.model((("x", sample + "a"),))
     _, _, [(_, table, bits)] = parts
     fold, number = parts[:2]
@@ -432,22 +448,60 @@ def test_chat_query(spark, data):
     assert got == {c: read_by_hand(sorted(t)) for c, t in own.items()}
 
 
+def windows_by_hand(turns, budget, history):
+    """(first turn, new turns, shown turns, tokens) of each window, by adding up the tokens anew. turns: (role, text)."""
+    t = Tokenizer.from_file(TOKENIZER)
+    size = [len(t.encode(chat_format.turn_text(*x)[0], add_special_tokens=False).ids) for x in turns]
+    out, a = [], 0
+    while a < len(turns):
+        system = max((i for i in range(a) if turns[i][0] == "system"), default=None)
+        best = None
+        for h in range(a + 1):  # the longest history that fits
+            own = list(range(h, a))
+            extra = [system] if system is not None and system < h else []
+            # room is left for the system turn even where the history holds it
+            if h == a or sum(size[i] for i in own) <= history and sum(size[i] for i in [*own, a]) + (size[system] if system is not None else 0) <= budget:
+                best = extra + own
+                break
+        e = a + 1
+        while e < len(turns) and sum(size[i] for i in [*best, *range(a, e + 1)]) <= budget:
+            e += 1
+        shown = [*best, *range(a, e)]
+        out.append((a, e - a, shown, sum(size[i] for i in shown)))
+        a = e
+    return out
+
+
 def test_chat_windows(spark):
     turns = [(1, 0, "system", "be kind " * 5)] + [(1, i, "user" if i % 2 else "assistant", f"word{i} " * (i * 3 % 40 + 1)) for i in range(1, 60)] + [(1, 60, "assistant", "long " * 500), (2, 0, None, None), (2, None, "user", "x"), (None, 1, "assistant", "y"), (2, 0, None, None)]
+    turns += [(3, i, "system" if i in (5, 29, 30) else "user" if i % 2 else "assistant", f"### said </turn> \\ {i} " * (i * 7 % 9 + 1)) for i in range(60)]
     convs = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").withColumn("window", F.lit("clash"))
     out = chat_format.windows(convs, TOKENIZER, budget=200, history=60)
-    w = [r for r in out.collect() if r.conv_id == 1]
-    assert [r.window for r in w] == list(range(len(w))) and len(w) > 5
-    for r in w:
-        parts = chat_format.turns_of(r.text)
-        assert len(parts) == r.repeated + r.new_turns and parts[0][0] == "system"
-        assert r.tokens <= 200 or r.new_turns == 1
-    assert any(r.repeated > 1 for r in w) and sum(r.new_turns for r in w) == 61
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    for conv in (1, 3):
+        said = [(r or "", t or "") for c, _, r, t in turns if c == conv]
+        w = [r for r in out.collect() if r.conv_id == conv]
+        want = windows_by_hand(said, 200, 60)
+        assert [r.window for r in w] == list(range(len(w))) and len(w) == len(want) > 5
+        for r, (first, new, shown, tokens) in zip(w, want, strict=True):
+            assert (r.first_turn, r.new_turns, r.repeated, r.tokens) == (first, new, len(shown) - new, tokens)
+            assert chat_format.turns_of(r.text) == [said[i] for i in shown]
+            assert len(tokenizer.encode(r.text, add_special_tokens=False).ids) == r.tokens
+            assert r.tokens <= 200 or r.new_turns == 1 and r.repeated <= 1
+    assert sum(r.new_turns for r in out.collect() if r.conv_id == 1) == 61
     got = {r.conv_id: tuple(r)[1:5] for r in chat_format.read_back(out).collect()}
-    assert got[1] == read_by_hand([t[1:] for t in turns if t[0] == 1]) and got[2][0] == 3 and got[None][2] == 1
+    assert got[1] == read_by_hand([t[1:] for t in turns if t[0] == 1]) and got[3] == read_by_hand([t[1:] for t in turns if t[0] == 3])
+    assert got[2][0] == 3 and got[None][2] == 1
     assert chat_format.read_back(chat_format.windows(convs.limit(0), TOKENIZER)).count() == 0
 
 
+def test_chat_of_a_long_conversation(spark):
+    """100,000 turns in one conversation: time in proportion, one window held."""
+    convs = spark.range(100_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn number "), F.col("id").cast("string")).alias("text"))
+    r = chat_format.read_back(chat_format.windows(convs, TOKENIZER)).first()
+    assert r.n_turns == 100_000 and r.loss_chars == sum(len(f"turn number {i}") for i in range(1, 100_000, 2))
+
+
 # --- neighbours
 
 
