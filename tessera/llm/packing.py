@@ -7,12 +7,13 @@ of a balanced tree: of the first n tokens that reach a node, floor(n x left
 weights / its weights) go left and the others right. So every window is filled
 exactly, what a queue has been served only grows, and its deficit stays within the
 tree's depth. As this needs only totals, the carried state of any
-window on any partition is computed, not handed on: a token's place in its queue
-gives its window.
+window on any partition is computed, not handed on: a token's place in its source
+gives its window. With very many sources, a queue holds several, and is a tree of its own with
+these as leaves, which divides the queue's tokens in the same way.
 
 Three passes: tokenize once (ids go to a checkpoint with each document's place
-in its partition's part of the queue), add up tokens by partition and queue, and
-place the pieces. Only totals are shuffled; no queue is gathered in a task.
+in its partition's part of the source), add up tokens by partition and source, and
+place the pieces. Only totals are shuffled; no source is gathered in a task.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import checkpointed, slices, words_of
 
-#: More sources than this share queues by hash; so the plan of windows is small whatever the data.
+#: More sources than this are leaves of so many queues' own trees, dealt by hash; so the plan of windows is small whatever the data.
 MAX_QUEUES = 1024
 #: Words whose ids a Python worker remembers, in arrays (about 30 bytes a word), bytes of text and new words encoded at once.
 CACHE_WORDS, ENCODE_BYTES, ENCODE_WORDS = 1_500_000, 8 << 20, 8192
@@ -156,35 +157,68 @@ def shares(size: int, left: list[int], weights: list[int]) -> list[int]:
     return out
 
 
-def pieces(phases: list, queue: int, start: int, n: int) -> Iterator[tuple[int, int, int, int]]:
-    """(place in the document, length, window, offset in it) of n tokens from place `start` of the queue."""
-    firsts = [p[5][queue] for p in phases]
+def leaf_paths(totals: list[int]) -> list[list[tuple[int, int, bool]]]:
+    """For each source of a queue: the nodes down to it, as (left total, total, whether it is on the left)."""
+    prefix, out = np.cumsum([0, *totals], dtype=object).tolist(), []
+    for k in range(len(totals)):
+        low, high, path = 0, len(totals), []
+        while high - low > 1:
+            middle = (low + high) // 2
+            path.append((prefix[middle] - prefix[low], prefix[high] - prefix[low], k < middle))
+            low, high = (low, middle) if k < middle else (middle, high)
+        out.append(path)
+    return out
+
+
+def inner(path: list[tuple[int, int, bool]], n: int) -> tuple[int, int]:
+    """Of a queue's first n tokens: those of the sources before this one, and its own."""
+    before = 0
+    for left_total, total, is_left in path:
+        left = n * left_total // total if total else 0
+        if is_left:
+            n = left
+        else:
+            before, n = before + left, n - left
+    return before, n
+
+
+def pieces(phases: list, queue: int, start: int, n: int, path: list = (), total: int = 0) -> Iterator[tuple[int, int, int, int]]:
+    """(place in the document, length, window, offset in it) of n tokens from place `start` of a source; path and total: its place in its queue's tree, and its tokens, if the queue holds others."""
+
+    def at(windows: int) -> tuple[int, int]:
+        """Tokens before the source's, and its own, in a phase's first windows; its own from the very start."""
+        before, own = served(phase, queue, windows)
+        before_inner, own = inner(path, phase[5][queue] + own)
+        return before + before_inner, own
+
+    firsts = [inner(path, p[5][queue])[1] for p in phases]
     done, phase, w = 0, None, 0
     while done < n:
+        y = start + done
         # of phases with the same start the last one serves it
-        now = phases[bisect_right(firsts, start + done) - 1]
-        y = start + done - now[5][queue]
+        now = phases[bisect_right(firsts, y) - 1]
         if now is not phase:
             phase, low, high = now, 0, now[1] - 1
             # windows are near to where the queue's share puts them
             share = now[4][queue + 1] - now[4][queue]
-            near, step = min(high, y * now[3] // (now[2] * share)), 1
-            while low < (to := max(low, near - step)) and served(now, queue, to)[1] > y:
+            place = y * path[0][1] // total if path else y
+            near, step = max(0, min(high, (place - now[5][queue]) * now[3] // (now[2] * share))), 1
+            while low < (to := max(low, near - step)) and at(to)[1] > y:
                 step *= 4
             low, step = to, 1
-            while (to := min(high, near + step)) < high and served(now, queue, to + 1)[1] <= y:
+            while (to := min(high, near + step)) < high and at(to + 1)[1] <= y:
                 step *= 4
             high = to
             while low < high:
                 middle = (low + high) // 2
-                low, high = (low, middle) if served(now, queue, middle + 1)[1] > y else (middle + 1, high)
-            w, (before, begin) = low, served(now, queue, low)
-            after, end = served(now, queue, w + 1)
+                low, high = (low, middle) if at(middle + 1)[1] > y else (middle + 1, high)
+            w, (before, begin) = low, at(low)
+            after, end = at(w + 1)
         while end <= y:
             w, before, begin = w + 1, after, end
-            after, end = served(now, queue, w + 1)
+            after, end = at(w + 1)
         take = min(n - done, end - y)
-        # a window holds the queues in order
+        # a window holds the sources in order
         yield done, take, now[0] + w, after - before + y - begin
         done += take
 
@@ -197,7 +231,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
     All windows but the last are full, so only that one is padded.
 
     weights: target proportion by source (sources not named: 0, served once the
-    others are empty); None: in proportion to the sources' tokens.
+    others are empty); None: in proportion to the sources' tokens. At most MAX_QUEUES sources can be named where there are more.
     Null text counts as empty: its one id is end_id. Null sources are a queue of
     their own. Repeated rows are packed as often as they occur. An empty table
     gives no rows. Columns other than the three named are ignored. Order within
@@ -206,17 +240,19 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).cast("string").alias("source"), F.col(text_column).cast("string").alias("text"))
     names = [r[0] for r in rows.groupBy("source").agg(F.lit(1)).limit(MAX_QUEUES + 1).collect()]
-    if len(names) > MAX_QUEUES:
-        if weights:
-            raise ValueError(f"weights need at most {MAX_QUEUES} sources")
-        rows, queues = rows.withColumn("queue", F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("int")), MAX_QUEUES
-    else:
-        names.sort(key=lambda s: (s is None, s or ""))
-        queues = max(1, len(names))
-        number = F.when(F.lit(False), 0)  # one flat CASE, however many sources
-        for i, s in enumerate(names):
-            number = number.when(F.col("source").eqNullSafe(F.lit(s).cast("string")), i)
-        rows = rows.withColumn("queue", number.cast("int"))
+    many = len(names) > MAX_QUEUES
+    if many:
+        names = list(weights or ())  # these have queues of their own
+        if len(names) > MAX_QUEUES:
+            raise ValueError(f"at most {MAX_QUEUES} sources can have weights where there are more sources")
+    names.sort(key=lambda s: (s is None, s or ""))
+    queues = len(names) + MAX_QUEUES if many else max(1, len(names))
+    number = F.when(F.lit(False), 0)  # one flat CASE, however many sources
+    for i, s in enumerate(names):
+        number = number.when(F.col("source").eqNullSafe(F.lit(s).cast("string")), i)
+    if many:
+        number = number.otherwise(F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)) + len(names))
+    rows = rows.withColumn("queue", number.cast("int"))
 
     def tokenize(batches):
         own, part, served = WordTokenizer.load(tokenizer_path), TaskContext.get().partitionId(), {}
@@ -225,7 +261,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
                 ids, at = own.encode(b.column("text"))
                 n = np.diff(at) + 1
                 places = np.empty(b.num_rows, np.int64)
-                for i, q in enumerate(b.column("queue").to_pylist()):
+                for i, q in enumerate(b.column("source").to_pylist()):
                     places[i] = served.get(q, 0)
                     served[q] = places[i] + n[i]
                 data = np.insert(ids, at[1:], end_id).tobytes()
@@ -235,25 +271,42 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     tokens = checkpointed(rows.select("doc_id", "source", "queue", "text").mapInArrow(tokenize, f"part int, queue int, doc_id {kind}, source string, place bigint, n bigint, ids binary"))
-    parts = tokens.groupBy("part", "queue").agg(F.sum("n").alias("n"))
-    parts = checkpointed(parts.select("part", "queue", "n", F.coalesce(F.sum("n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")))
+    by_part = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = tokens.groupBy("part", "queue", "source").agg(F.sum("n").alias("n"))
+    parts = checkpointed(parts.select("part", "queue", "source", "n", F.coalesce(F.sum("n").over(by_part), F.lit(0)).alias("before")))
     totals = [0] * queues
-    for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect():  # MAX_QUEUES rows at most
+    for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect():  # twice MAX_QUEUES rows at most
         totals[r["queue"]] = r["n"]
-    phases = plan(totals, [weights.get(s, 0) for s in names] if weights and names else None, window)
+    phases = plan(totals, [weights.get(s, 0) for s in names] + [0] * (queues - len(names)) if weights and names else None, window)
     narrow = WordTokenizer.load(tokenizer_path).dtype
 
+    path_kind = "path array<struct<left_total:bigint,total:bigint,is_left:boolean>>, total bigint"
+
+    def paths(own: pa.Table) -> pa.Table:
+        """Each source's path in its queue; a queue holds one of MAX_QUEUES sources."""
+        own = own.sort_by("source")
+        found = [[{"left_total": a, "total": b, "is_left": c} for a, b, c in path] for path in leaf_paths(own["n"].to_pylist())]
+        kind = pa.list_(pa.struct([("left_total", pa.int64()), ("total", pa.int64()), ("is_left", pa.bool_())]))
+        return pa.table({"source": own["source"], "path": pa.array(found, kind), "total": own["n"]})
+
     def place(batches):
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
-            for queue, doc, source, at, before, n, ids in zip(*(batch.column(c).to_pylist() for c in ("queue", "doc_id", "source", "place", "before", "n", "ids")), strict=True):
+            for queue, doc, source, at, before, n, ids, path, total in zip(*(batch.column(c).to_pylist() for c in ("queue", "doc_id", "source", "place", "before", "n", "ids", "path", "total")), strict=True):
                 wide = np.frombuffer(ids, narrow).astype("<u4").tobytes()
-                for start, length, sequence, offset in pieces(phases, queue, at + before, n):
+                for start, length, sequence, offset in pieces(phases, queue, at + before, n, [tuple(x.values()) for x in path or ()], total):
                     own = wide[4 * start : 4 * (start + length)]
                     for column, x in zip(out, (doc, start, length, n, sequence, offset, source, own), strict=True):
                         column.append(x)
             schema = [batch.schema.field("doc_id").type, *[pa.int64()] * 5, pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, schema, strict=True)], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "source", "ids"])
 
-    joined = tokens.join(parts.select("part", "queue", "before"), ["part", "queue"])  # a row per partition and queue: Spark broadcasts it while it is small
+    known = parts.select(F.col("part").alias("of_part"), F.col("source").alias("of"), "before")
+    if many:
+        inner_paths = parts.groupBy("queue", "source").agg(F.sum("n").alias("n")).groupBy("queue").applyInArrow(paths, f"source string, {path_kind}")
+        known = known.join(inner_paths, F.col("of").eqNullSafe(F.col("source"))).drop("source")
+    else:
+        known = known.select("*", F.lit(None).cast("array<struct<left_total:bigint,total:bigint,is_left:boolean>>").alias("path"), F.lit(0).cast("bigint").alias("total"))
+    # a row per partition and source: Spark broadcasts it while it is small
+    joined = tokens.join(known, (F.col("part") == F.col("of_part")) & F.col("source").eqNullSafe(F.col("of")))
     return joined.mapInArrow(place, f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string, ids binary")

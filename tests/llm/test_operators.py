@@ -109,6 +109,54 @@ def test_plans_place_every_token_once(totals, weights, window):
     assert all(v == 1 for v in seen.values()) and sorted(seen) == [(i // window, i % window) for i in range(sum(totals))]
 
 
+def test_more_sources_than_queues(spark, monkeypatch):
+    """Queues of several sources: every token once, and each source's share of the windows stays near its target."""
+    monkeypatch.setattr(packing, "MAX_QUEUES", 4)
+    docs = [(i, "word " * (i % 37 + 1), f"s{i % 30}" if i % 31 else None) for i in range(1500)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string").repartition(5)
+    out = packing.pack(df, TOKENIZER, window=512).withColumn("ids_crc32", F.crc32("ids")).collect()
+    check_pieces([(i, t) for i, t, _ in docs], out, 512)
+    totals, by_window = collections.Counter(), collections.Counter()
+    for r in out:
+        totals[r.source] += r.length
+        by_window[r.source, r.sequence_id] += r.length
+    everything, last = sum(totals.values()), max(r.sequence_id for r in out)
+    assert len(totals) == 31 and max(abs(by_window[s, w] - 512 * totals[s] / everything) for s in totals for w in range(last)) <= 12
+    weighted = packing.pack(df, TOKENIZER, window=512, weights={"s1": 3, "s2": 1}).withColumn("ids_crc32", F.crc32("ids")).collect()
+    check_pieces([(i, t) for i, t, _ in docs], weighted, 512)
+    first = collections.Counter()
+    for r in weighted:
+        if r.sequence_id == 0:
+            first[r.source] += r.length
+    assert first.keys() == {"s1", "s2"} and abs(first["s1"] - 384) <= 6
+    with pytest.raises(ValueError):
+        packing.pack(df, TOKENIZER, weights={f"s{i}": 1 for i in range(5)})
+
+
+def round_robin(totals, weights, window):
+    """Tokens of each queue by window, by deficit round-robin over queues that never run out: each is owed its share of every window and gets whole tokens."""
+    owed, out = [0.0] * len(totals), []
+    while sum(totals) - sum(map(sum, zip(*out, strict=True))) >= window:
+        owed = [o + window * w / sum(weights) for o, w in zip(owed, weights, strict=True)]
+        give = [math.floor(o) for o in owed]
+        for k in sorted(range(len(owed)), key=lambda k: give[k] - owed[k])[: window - sum(give)]:
+            give[k] += 1
+        owed = [o - g for o, g in zip(owed, give, strict=True)]
+        out.append(give)
+    return out
+
+
+def test_plan_follows_the_round_robin():
+    """The closed form gives every queue what a deficit round-robin has served it by each window, but for a few tokens."""
+    totals, window = [90_000, 30_500, 11, 4_000, 52_013], 256
+    phases, want = packing.plan(totals, None, window), round_robin(totals, totals, window)
+    for k in range(len(totals)):
+        seen = 0
+        for w, given in enumerate(want):
+            seen += given[k]
+            assert abs(packing.served(phases[0], k, w + 1)[1] - seen) <= 4
+
+
 def test_weights_are_targets(spark):
     docs = spark.createDataFrame([(i, "a b c d e f g", "en", s, 1) for i, s in enumerate("aaaaaaaabbbbbbbb")], DOCS)
     out = packing.pack(docs, TOKENIZER, window=16, weights={"a": 3, "b": 1})
