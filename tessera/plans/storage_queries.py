@@ -19,9 +19,11 @@ from tessera.streaming import ingest
 
 
 def workspace(spark: SparkSession) -> str:
-    """A new folder that the whole cluster reads: below spark.checkpoint.dir, or, where that is unset, a temporary one."""
+    """A new folder that the whole cluster reads: below spark.checkpoint.dir, or, where that is unset and all runs on this machine, a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, shared, ignore_errors=True)
     return f"{shared}/work-{uuid.uuid4().hex}"
