@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,6 +45,24 @@ def edit_distance(a: Column, b: Column, most: int = 2) -> Column:
     return F.levenshtein(a, b, most)
 
 
+def shortened(s: Column, most: int = 2) -> Column:
+    """The texts that s becomes by leaving out up to `most` characters: any two texts within that many edits share one."""
+    less = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(x), F.lit(1))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.char_length(x))))
+    out = level = F.array(s)
+    for _ in range(most):
+        level = F.array_distinct(F.flatten(F.transform(level, less)))
+        out = F.array_union(out, level)
+    return out
+
+
+def near_pairs(left: DataFrame, right: DataFrame, a: str, b: str, most: int = 2) -> DataFrame:
+    """All pairs of rows whose texts a and b are within `most` edits, by an equi-join of shortened texts instead of comparing all with all."""
+    x = left.select(F.col(a).alias("__a")).distinct().select("__a", F.explode(shortened(F.col("__a"), most)).alias("__key"))
+    y = right.select(F.col(b).alias("__b")).distinct().select("__b", F.explode(shortened(F.col("__b"), most)).alias("__key"))
+    near = x.join(y, "__key").select("__a", "__b").distinct().where(F.levenshtein("__a", "__b", most) >= 0)
+    return left.join(near, F.col(a) == F.col("__a")).join(right, F.col("__b") == F.col(b)).drop("__a", "__b")
+
+
 def json_type(text: str) -> str:
     """The engine's type of a JSON document: Boolean, Int64, Float64, Utf8, List<...> or Struct<...>."""
 

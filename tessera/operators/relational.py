@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a side is broadcast on request.
@@ -89,6 +89,33 @@ def union(frames: list[DataFrame], all_rows: bool = True) -> DataFrame:
     return out if all_rows else out.distinct()
 
 
+def union_merge(frames: list[DataFrame], keys: list[str]) -> DataFrame:
+    """All rows of frames by position, sorted by the keys: one range partitioning that all share, and sorted parts."""
+    return union(frames).repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
+def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, columns: list[str]) -> DataFrame:
+    """The left rows with the columns of the last right row of their keys whose time is not later; NULL where there is none.
+
+    Both sides are sorted once by key and time, and the last right row is carried along; no pairs are made. NULL keys and times meet nothing. Of
+    right rows at one time any may be taken.
+    """
+    own = F.struct(*[F.col(c) for c in left.columns])
+    a = left.select(*keys, F.col(time).alias("__time"), F.lit(1).alias("__side"), own.alias("__row"), F.lit(None).cast(right.select(F.struct(*columns).alias("x")).schema["x"].dataType).alias("__last"))
+    b = right.where(every([F.col(c).isNotNull() for c in (*keys, time)])).select(*keys, F.col(time).alias("__time"), F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.struct(*columns).alias("__last"))
+    up_to = Window.partitionBy(*keys).orderBy("__time", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    found = a.unionByName(b).withColumn("__last", F.last("__last", ignorenulls=True).over(up_to)).where("__side = 1")
+    known = F.when(every([F.col(c).isNotNull() for c in (*keys, "__time")]), F.col("__last"))
+    return found.select("__row.*", *[known[c].alias(c) for c in columns])
+
+
+def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
+    """Points and the ranges with low <= at < high, as an equi-join: ranges are filed under all cells of that width that they touch."""
+    cell = lambda c: F.floor(F.col(c) / width)
+    filed = ranges.where(F.col(low) < F.col(high)).withColumn("__cell", F.explode(F.sequence(cell(low), cell(high))))
+    return points.withColumn("__cell", cell(at)).join(filed, "__cell").where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("__cell")
+
+
 def exchange(df: DataFrame, kind: str, n: int, keys: list[str] | None = None) -> DataFrame:
     """Hash, range, round_robin or single partitioning."""
     if kind == "hash":

@@ -46,16 +46,40 @@ def evaluate(files: DataFrame, now: str, rules: tuple[Rule, ...] = DEFAULT) -> D
     return files.withColumn("target_tier", tier_of(now, rules)).withColumn("moves", F.col("target_tier") != F.col("tier"))
 
 
+def _store(path: str):
+    """A path's file system and its place there; paths without scheme are local."""
+    from pyarrow import fs
+
+    path = path.replace("s3a://", "s3://", 1)
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+
+
+def _moved(batches):
+    """Moves each file of (path, target); one that an earlier try of the task has moved is left alone."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for batch in batches:
+        for path, target in zip(batch.column("path").to_pylist(), batch.column("target").to_pylist(), strict=True):
+            (a, source), (b, end) = _store(path), _store(target)
+            if a.get_file_info(source).type == fs.FileType.NotFound and b.get_file_info(end).type != fs.FileType.NotFound:
+                continue
+            b.create_dir(end.rpartition("/")[0], recursive=True)
+            if a.equals(b):
+                a.move(source, end)
+            else:
+                part = f"{end}.part"
+                with a.open_input_stream(source) as x, b.open_output_stream(part) as y:
+                    while data := x.read(8 << 20):
+                        y.write(data)
+                b.move(part, end)
+                a.delete_file(source)
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("target")], ["path", "target"])
+
+
 def move(spark, files: DataFrame, root: str) -> list[tuple[str, str]]:
-    """Moves the files whose tier changes to <root>/<tier>/<name>, by Hadoop's file systems (any store Spark reads). files is the manifest's listing of them."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    done = []
-    for r in files.where("moves").select("path", "target_tier").toLocalIterator():
-        source = jvm.org.apache.hadoop.fs.Path(r["path"])
-        folder = jvm.org.apache.hadoop.fs.Path(f"{root}/{r['target_tier'].lower()}")
-        target = jvm.org.apache.hadoop.fs.Path(folder, source.getName())
-        store = target.getFileSystem(conf)
-        store.mkdirs(folder)
-        if jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, store, target, True, conf):
-            done.append((r["path"], target.toString()))
-    return done
+    """Moves the files whose tier changes to <root>/<tier>/<name>, in tasks: a rename within a store, else copied in parts. files is the manifest's listing of them; the driver gets the moved paths."""
+    todo = files.where("moves").select("path", F.concat(F.lit(f"{root}/"), F.lower("target_tier"), F.lit("/"), F.element_at(F.split("path", "/"), -1)).alias("target"))
+    return [tuple(r) for r in todo.mapInArrow(_moved, "path string, target string").collect()]

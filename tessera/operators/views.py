@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import asdict, dataclass, replace
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +87,11 @@ class Views:
     def refresh(self, name: str, now: str) -> View:
         return self._publish(name, self.spark.sql(self.views[name].sql), now)
 
+    def due(self, schedules: dict[str, str], now: datetime) -> list[str]:
+        """Scheduled views whose cron line has named a minute since their last refresh, up to now."""
+        late = lambda v: v.refreshed_at is None or next_run(schedules[v.name], datetime.fromisoformat(v.refreshed_at)) <= now
+        return sorted(v.name for v in self.views.values() if v.mode == "scheduled" and v.name in schedules and late(v))
+
     def refresh_incrementally(self, name: str, now: str, new_rows: DataFrame) -> View:
         """Adds the view of the new rows: appended, or merged by key where the view aggregates. Without an earlier version, the new rows are the view."""
         v = self.views[name]
@@ -105,6 +111,37 @@ class Views:
         return df
 
 
+def _field(text: str, low: int, high: int) -> set[int]:
+    """What a field of a cron line stands for: *, numbers, a-b, each with /step, and lists of them."""
+    out: set[int] = set()
+    for part in text.split(","):
+        span, _, step = part.partition("/")
+        first, _, last = span.partition("-")
+        a = low if span == "*" else int(first)
+        b = high if span == "*" or step and not last else int(last or first)
+        out |= set(range(a, b + 1, int(step or 1)))
+    if not out or min(out) < low or max(out) > high:
+        raise ValueError(text)
+    return out
+
+
+def next_run(cron: str, after: datetime) -> datetime:
+    """The first minute after `after` that a cron line of five fields names (Sunday is 0 or 7; with a day of the month and one of the week, either)."""
+    minute, hour, day, month, week = cron.split()
+    minutes, hours, months = sorted(_field(minute, 0, 59)), sorted(_field(hour, 0, 23)), _field(month, 1, 12)
+    days, weekdays = _field(day, 1, 31), {d % 7 for d in _field(week, 0, 7)}
+    at = after.replace(second=0, microsecond=0) + timedelta(minutes=1)
+    for _ in range(366 * 8):
+        by_day, by_week = at.day in days, at.isoweekday() % 7 in weekdays
+        if at.month in months and (by_day or by_week if "*" not in (day, week) else by_day and by_week):
+            for h in hours:
+                for m in minutes:
+                    if (h, m) >= (at.hour, at.minute):
+                        return at.replace(hour=h, minute=m)
+        at = at.replace(hour=0, minute=0) + timedelta(days=1)
+    raise ValueError(f"{cron} names no day")
+
+
 def interval_of(cron: str) -> str:
     """A trigger's interval for a cron line: */n in the minutes or hours, else a minute."""
     parts = cron.split()

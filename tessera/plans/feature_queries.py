@@ -68,11 +68,10 @@ def luhn_cards(spark, d):
     return table(spark, d, "documents").select("doc_id", F.regexp_extract("text", _CARD, 2).alias("card")).where("card <> ''").withColumn("valid", text.luhn_valid(F.col("card")))
 
 
-@query("SELECT s_suppkey, n_name FROM supplier JOIN nation ON levenshtein(substr(s_name, 1, 8), substr(n_name, 1, 8)) <= 2 OR s_nationkey = n_nationkey")
+@query("SELECT a.n_name AS name, b.n_name AS other FROM nation a JOIN nation b ON levenshtein(a.n_name, b.n_name) <= 2")
 def levenshtein_match(spark, d):
-    s, n = table(spark, d, "supplier"), table(spark, d, "nation")
-    near = text.edit_distance(F.substring("s_name", 1, 8), F.substring("n_name", 1, 8)).between(0, 2)
-    return s.join(F.broadcast(n), near | (F.col("s_nationkey") == F.col("n_nationkey"))).select("s_suppkey", "n_name")
+    n = table(spark, d, "nation")
+    return text.near_pairs(n.select(F.col("n_name").alias("name")), n.select(F.col("n_name").alias("other")), "name", "other")
 
 
 # --- profiles
@@ -276,7 +275,18 @@ def anon_fpe(spark, d):
     return table(spark, d, "customer").select("c_custkey", A.format_preserving(F.col("c_name"), "key").alias("hidden"))
 
 
-@query()
+def _pseudonym_sql(seed: int) -> str:
+    """Java's String.hashCode of the SHA-256 seeds its generator, whose first eight numbers below 26 are letters."""
+    low = 1 << 48
+    h = "list_reduce(list_prepend(0::HUGEINT, list_transform(range(1, 65), lambda i: ascii(sha256(c_name)[i])::HUGEINT)), lambda a, c: (31 * a + c) % 4294967296)"
+    sql = f"SELECT c_custkey, CASE WHEN h >= 2147483648 THEN h - 4294967296 + {low} ELSE h END AS h FROM (SELECT c_custkey, {h} AS h FROM customer)"
+    sql = f"SELECT c_custkey, xor(xor(h, {seed}::HUGEINT), 25214903917::HUGEINT) AS s0 FROM ({sql})"
+    for i in range(8):
+        sql = f"SELECT *, (s{i} * 25214903917 + 11) % {low} AS s{i + 1} FROM ({sql})"
+    return f"SELECT c_custkey, {' || '.join(f'chr(CAST(97 + (s{i + 1} // 131072) % 26 AS INTEGER))' for i in range(8))} AS pseudonym FROM ({sql})"
+
+
+@query(_pseudonym_sql(42))
 def anon_pseudonym(spark, d):
     return table(spark, d, "customer").select("c_custkey", A.pseudonymize(F.col("c_name"), 42).alias("pseudonym"))
 
@@ -390,7 +400,7 @@ _TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 _HAS = f"(SELECT doc_id, {_TOKENS} AS w FROM documents)"
 
 
-def _index(spark, d, words: tuple[str, ...] | None = None):
+def _index(spark, d):
     return fulltext.index(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
@@ -438,7 +448,7 @@ def fts_tfidf(spark, d):
     return fulltext.ranked(_index(spark, d), ["the", "Licensed"], "tfidf")
 
 
-@query()
+@query("SELECT 'SPLR' AS term, COUNT(*) AS n FROM supplier")
 def fts_phonetic(spark, d):
     idx = fulltext.index(table(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey", "s_name", "phonetic")
     return idx.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
@@ -481,10 +491,12 @@ def bitmap_and_or_not(spark, d):
     return indexes.bitmap_and(indexes.bitmap_and(either, indexes.bitmap_rows(by_priority, "1-URGENT")), indexes.bitmap_not(indexes.bitmap_rows(by_status, "P"), rows))
 
 
-@query()
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 5")
 def bloom_skip(spark, d):
-    rows = _chunks(spark, d)
-    return indexes.bloom_chunks(indexes.bloom_index(rows, "o_custkey"), F.lit(5).cast("bigint"))
+    """The rows of a key, read from the chunks that the filters leave: none may be missed."""
+    rows, key = _chunks(spark, d), F.lit(5).cast("bigint")
+    found = indexes.bloom_chunks(indexes.bloom_index(rows, "o_custkey"), key)
+    return rows.join(found, "chunk", "left_semi").where(F.col("o_custkey") == key).select("o_orderkey", "o_custkey")
 
 
 @query("""WITH r AS (SELECT o_custkey AS v, ROW_NUMBER() OVER (ORDER BY o_custkey) - 1 AS p FROM orders), e AS (SELECT v, p, CAST(FLOOR(p / 1000) AS BIGINT) AS chunk FROM r WHERE p % 1000 = 0 OR p = (SELECT MAX(p) FROM r))

@@ -82,9 +82,9 @@ def filter_between(spark, d):
     return table(spark, d, "orders").where(F.col("o_totalprice").between(1000, 50000) & F.col("o_orderdate").between(at("1996-01-01"), at("1997-12-31"))).select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT p_partkey, p_name, p_type FROM part WHERE p_name LIKE '%a%' AND p_type LIKE '_%e%' AND p_brand NOT LIKE 'Brand#1_'")
+@query("SELECT p_partkey, p_name, p_type FROM part WHERE p_name LIKE '%ll %g%' AND p_type LIKE '_C%Y' AND p_brand NOT LIKE 'Brand#1_'")
 def filter_like(spark, d):
-    return table(spark, d, "part").where(F.col("p_name").like("%a%") & F.col("p_type").like("_%e%") & ~F.col("p_brand").like("Brand#1_")).select("p_partkey", "p_name", "p_type")
+    return table(spark, d, "part").where(F.col("p_name").like("%ll %g%") & F.col("p_type").like("_C%Y") & ~F.col("p_brand").like("Brand#1_")).select("p_partkey", "p_name", "p_type")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE (o_custkey > 10 AND o_custkey < 200) OR (o_custkey >= 500 AND o_custkey <= 600) OR o_custkey = 999")

@@ -77,14 +77,15 @@ class JdbcSource(Source):
     """Spark's JDBC reader, which pushes filters, columns, limits and aggregates to the database. Reads in parallel if options have partitionColumn, lowerBound, upperBound and numPartitions."""
 
     def _reader(self, spark: SparkSession):
-        own = {k: v for k, v in self.options.items() if k not in ("host", "port", "url")}
+        own = {k: v for k, v in self.options.items() if k not in ("host", "port", "url", "tables_query")}
         return spark.read.format("jdbc").options(url=self.url(), pushDownPredicate="true", pushDownAggregate="true", pushDownLimit="true", **own)
 
     def read(self, spark: SparkSession, table: str) -> DataFrame:
         return self._reader(spark).option("dbtable", table).load()
 
     def tables(self, spark: SparkSession) -> list[str]:
-        return [r[0] for r in self._reader(spark).option("query", "SELECT table_name FROM information_schema.tables WHERE table_schema NOT IN ('pg_catalog', 'information_schema')").load().collect()]
+        own = self.options.get("tables_query")  # where the catalog is not the standard's
+        return [r[0] for r in self._reader(spark).option("query", own or "SELECT table_name FROM information_schema.tables WHERE table_schema NOT IN ('pg_catalog', 'information_schema')").load().collect()]
 
 
 class FileSource(Source):

@@ -280,6 +280,16 @@ def test_lineage(spark):
     assert "&lt;d&gt;" in lineage.export(edges, "graphml") and "-->" in lineage.export(edges, "mermaid", {"a", "b"})
 
 
+def test_large_lineage_graphs(spark, monkeypatch):
+    """Walked by joins, level by level, with the same result as in the driver; cycles end."""
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "d"), ("d", "e"), ("x", "y"), (None, "a"), ("e", None)], "source_table string, target_table string")
+    walked = lambda *args: sorted(tuple(r) for r in lineage.reachable(edges, *args).collect())
+    small = [walked("a"), walked("e", False), walked("a", True, 1), walked("none")]
+    assert small[0] == [("b", 1), ("c", 2), ("d", 1), ("e", 2)] and small[2] == [("b", 1), ("d", 1)] and small[3] == []
+    monkeypatch.setattr(lineage, "SMALL_GRAPH", 2)
+    assert [walked("a"), walked("e", False), walked("a", True, 1), walked("none")] == small
+
+
 def test_evolution(spark, tmp_path):
     assert evolution.overall([]) == evolution.FULL and evolution.overall([evolution.FULL]) == evolution.BACKWARD
     assert evolution.grade("type_changed", "Int32", "Int64") == evolution.BACKWARD and evolution.grade("type_changed", "Int32", "UInt64") == evolution.INCOMPATIBLE
