@@ -71,10 +71,12 @@ def minima(hashes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     """n minimum hashes (unsigned 32-bit) of each set that isn't empty."""
     out = np.empty((int((np.diff(starts) > 0).sum()), n), np.uint32)
     begin = starts[:-1][np.diff(starts) > 0]
+    if not len(begin):
+        return out
     rng = np.random.RandomState(9)
     a, b = rng.randint(0, 1 << 62, n).astype(np.uint64) | np.uint64(1), rng.randint(0, 1 << 62, n).astype(np.uint64)
     # sets in blocks that stay in the cache
-    cuts = np.flatnonzero(np.diff(begin // 16384, prepend=-1)) if len(begin) else []
+    cuts = np.flatnonzero(np.diff(begin // 16384, prepend=-1))
     for i, k in zip(cuts, [*cuts[1:], len(begin)], strict=True):
         x = hashes[begin[i] : begin[k] if k < len(begin) else len(hashes)]
         at = begin[i:k] - begin[i]
