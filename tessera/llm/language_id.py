@@ -5,8 +5,11 @@ text is parsed, language by language, into the longest phrases that the
 language's sample holds; the language that needs the fewest phrases, times
 the bits that name a place in its sample and divided by the text's length, wins.
 
-A text is read whole, in blocks of BLOCK characters, each parsed from its start,
-so that all blocks of a batch take a step at once. An automaton is a hash table of
+A text is parsed whole. So that many steps are taken at once, it is read in blocks of BLOCK characters, each
+from its own start at first; the phrase that reaches into a block then goes on there, phrase by phrase, until one begins
+where one of the block's own did, from where on both parses are the same. That gives the parse of the whole text.
+Texts in which the two parses do not meet (short passages repeated over and over) are finished block after block,
+so that time is in proportion to the text there as well. An automaton is a hash table of
 next states by state and letter, built once in every Python worker from the sample, which
 alone is sent to the executors.
 """
@@ -15,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._common import slices
@@ -23,6 +26,8 @@ from tessera.llm._common import slices
 #: The sample of each language: rows (about), characters of a row, characters of all.
 SAMPLE_ROWS, ROW_CHARS, SAMPLE_CHARS = 400, 300, 30_000
 BLOCK = 512
+#: Rounds in which all blocks whose first phrase has changed are parsed again at once.
+ROUNDS = 4
 #: Classes: all that is no letter, letters that no sample holds, and from 2 on each letter of the samples.
 _SPACE, _OTHER = 0, 1
 _CODES = 0x30000
@@ -48,9 +53,8 @@ class Automaton:
     def __init__(self, nexts: list[dict[int, int]], classes: int):
         self.states = len(nexts)
         self.root = np.zeros(classes, np.int64)
-        self.known = np.zeros(classes, bool)
         for c, s in nexts[0].items():
-            self.root[c], self.known[c] = s, True
+            self.root[c] = s
         keys = np.array([s << _CLASS_BITS | c for s, own in enumerate(nexts) for c in own] or [0], np.uint64)
         to = np.array([t for own in nexts for t in own.values()] or [0], np.uint64)
         self.bits = max(4, int(3 * len(keys)).bit_length())
@@ -71,7 +75,7 @@ class Automaton:
         return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def step(self, state: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The next states, and the phrases that end: without a next state the phrase does, and the character begins the next one; an unknown character is a phrase of its own."""
+        """The next states, and whether the characters begin phrases: those at state 0 do, and those without a next state; an unknown character is a phrase of its own."""
         keys = state.astype(np.uint64) << _CLASS_BITS | classes.astype(np.uint64)
         place = self.place(keys)
         found = self.slots[place]
@@ -85,7 +89,17 @@ class Automaton:
             hit[on[same]] = True
             to[on[same]] = (found[same] & np.uint64((1 << _STATE_BITS) - 1)).astype(np.int64)
             on = on[~same & (found != _EMPTY)]
-        return np.where(hit, to, self.root[classes]), np.where(hit, 0, (state != 0) + (~self.known[classes]).astype(np.int64))
+        return np.where(hit, to, self.root[classes]), ~hit | (state == 0)
+
+    def step_one(self, state: int, c: int) -> tuple[int, bool]:
+        """step() of one state and one class, without arrays."""
+        key = state << _CLASS_BITS | c
+        place = (key * 0x9E3779B97F4A7C15 & 2**64 - 1) >> 64 - self.bits
+        while (found := self.slots.item(place)) != 2**64 - 1:
+            if found >> _STATE_BITS == key:
+                return found & (1 << _STATE_BITS) - 1, state == 0
+            place = place + 1 & (1 << self.bits) - 1
+        return self.root.item(c), True
 
 
 def automaton(classes: np.ndarray, n: int) -> Automaton:
@@ -145,42 +159,108 @@ def model(samples: tuple[tuple[str, str], ...]) -> tuple:
     return _built[samples]
 
 
-def phrases(blocks: np.ndarray, lengths: np.ndarray, table: Automaton) -> np.ndarray:
-    """Phrases of each block. blocks: [place, block], longest blocks first."""
-    state, count = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    live = np.searchsorted(-lengths, -np.arange(len(blocks)), side="left")  # blocks longer than the place
+class Blocks:
+    """Where the blocks of all texts begin and end, where their texts end, and which are the first of theirs."""
+
+    def __init__(self, starts: np.ndarray):
+        n = -(-np.diff(starts) // BLOCK)
+        self.of = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(self.of)) - np.repeat(np.cumsum(n) - n, n)
+        self.begin, self.stop, self.first = starts[:-1][self.of] + BLOCK * place, starts[1:][self.of], place == 0
+        self.end = np.minimum(self.begin + BLOCK, self.stop)
+
+
+def parse_blocks(classes: np.ndarray, blocks: Blocks, table: Automaton) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a phrase begins at each character if every block is parsed from its start, and where each block's last phrase ends."""
+    begins, ends = np.zeros(len(classes), bool), blocks.stop.copy()
+    lengths = blocks.end - blocks.begin
+    order = np.argsort(-lengths, kind="stable")
+    begin, state = blocks.begin[order], np.zeros(len(order), np.int64)
+    live = np.searchsorted(-lengths[order], -np.arange(lengths.max(initial=0)), side="left")  # blocks longer than the place
     for t, n in enumerate(live):
-        state[:n], ended = table.step(state[:n], blocks[t, :n])
-        count[:n] += ended
-    return count + (state != 0)
+        state[:n], new = table.step(state[:n], classes[begin[:n] + t])
+        begins[begin[:n] + t] = new
+    # the last phrases of blocks within texts go on behind them
+    rest = np.flatnonzero((blocks.end < blocks.stop)[order])
+    rest, state, at = order[rest], state[rest], blocks.end[order[rest]]
+    while len(rest):
+        state, new = table.step(state, classes[at])
+        ends[rest[new]] = at[new]
+        on = ~new & (at + 1 < blocks.stop[rest])
+        rest, state, at = rest[on], state[on], at[on] + 1
+    return begins, ends
+
+
+def phrases(classes: np.ndarray, starts: np.ndarray, table: Automaton) -> np.ndarray:
+    """Phrases of each text, all parsed from their starts."""
+    blocks = Blocks(starts)
+    if not len(blocks.of):
+        return np.zeros(len(starts) - 1)
+    begins, own_ends = parse_blocks(classes, blocks, table)
+    before = np.concatenate(([0], np.cumsum(begins)))  # own phrases that begin before each character
+    count, ends = before[blocks.end] - before[blocks.begin], own_ends.copy()
+    entry = np.where(blocks.first, blocks.begin, -1)  # where the first phrase of the text's parse begins in or behind each block
+    for _ in range(ROUNDS):
+        now = np.where(blocks.first, blocks.begin, np.concatenate(([0], ends[:-1])))
+        todo = np.flatnonzero(now != entry)
+        entry = now
+        ends[todo] = np.maximum(entry[todo], blocks.end[todo])
+        count[todo] = 0
+        lanes = todo[entry[todo] < blocks.end[todo]]
+        at, state = entry[lanes], np.zeros(len(lanes), np.int64)
+        while len(lanes):
+            state, new = table.step(state, classes[at])
+            behind, met = new & (at >= blocks.end[lanes]), new & (at < blocks.end[lanes]) & begins[at]
+            count[lanes[met]] += before[blocks.end[lanes[met]]] - before[at[met]]
+            ends[lanes[met]] = own_ends[lanes[met]]
+            ends[lanes[behind]] = at[behind]
+            count[lanes[new & ~met & ~behind]] += 1
+            last = ~met & ~behind & (at + 1 >= blocks.stop[lanes])
+            ends[lanes[last]] = blocks.stop[lanes[last]]
+            on = ~met & ~behind & ~last
+            lanes, state, at = lanes[on], state[on], at[on] + 1
+    for k in np.flatnonzero(~blocks.first & (np.concatenate(([0], ends[:-1])) != entry)).tolist():
+        while k < len(entry) and not blocks.first[k] and entry[k] != ends[k - 1]:
+            entry[k] = ends[k - 1]
+            count[k], ends[k] = parse_on(classes, int(entry[k]), int(blocks.end[k]), int(blocks.stop[k]), begins, before, int(own_ends[k]), table)
+            k += 1
+    return np.bincount(blocks.of, weights=count, minlength=len(starts) - 1)
+
+
+def parse_on(classes: np.ndarray, at: int, end: int, stop: int, begins: np.ndarray, before: np.ndarray, own_end: int, table: Automaton) -> tuple[int, int]:
+    """Phrases that begin from at to the block's end, and where the last of them ends; from a place where a phrase of the block's own parse begins, that parse tells."""
+    count, state = 0, 0
+    while at < stop:
+        state, new = table.step_one(state, classes.item(at))
+        if new and at >= end:
+            break
+        if new and begins.item(at):
+            return count + before.item(end) - before.item(at), own_end
+        count, at = count + new, at + 1
+    return count, at
 
 
 def rates(texts: list[str], parts: tuple) -> np.ndarray:
     """[text, language]: phrases x bits / characters."""
     fold, number, tables = parts
     classes, starts = classes_of(texts, fold, number)
-    size = np.diff(starts)
-    n = -(-size // BLOCK)
-    of = np.repeat(np.arange(len(texts)), n)
-    begin = starts[:-1][of] + BLOCK * (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
-    lengths = np.minimum(BLOCK, starts[1:][of] - begin)
-    order = np.argsort(-lengths, kind="stable")
-    of, begin, lengths = of[order], begin[order], lengths[order]
-    padded = np.concatenate((classes, np.zeros(BLOCK, classes.dtype)))
-    blocks = padded[begin + np.arange(lengths[0] if len(lengths) else 0)[:, None]]
-    return np.stack([np.bincount(of, weights=phrases(blocks, lengths, table), minlength=len(texts)) * bits / np.maximum(1, size) for _, table, bits in tables], axis=1)
+    size = np.maximum(1, np.diff(starts))
+    return np.stack([phrases(classes, starts, table) * bits / size for _, table, bits in tables], axis=1)
 
 
 def training_sample(rows: DataFrame) -> tuple[tuple[str, str], ...]:
-    """(language, text) of a bounded sample of rows with key, text and lang; rows are chosen by the hash of their key."""
+    """(language, text) of a bounded sample of rows with key, text and lang; rows are chosen by the hash of their key and text, null keys too; rows without text or lang are not to be among them."""
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
     if not counts:
         return ()
     shares = rows.sparkSession.createDataFrame([(r["lang"], min(1 << 20, -(-(SAMPLE_ROWS << 20) // r["n"]))) for r in counts], "lang string, share long")
-    draw = F.xxhash64("key", F.lit(5))
+    draw = F.xxhash64("key", "text", F.lit(5))
     # a passage from anywhere in the row, as long texts often begin alike
     passage = F.substring(F.col("text"), (F.pmod(draw, F.greatest(F.char_length("text") - ROW_CHARS, F.lit(0)) + 1) + 1).cast("int"), F.lit(ROW_CHARS))
-    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(draw, F.lit(1 << 20)) < F.col("share")).select("lang", draw.alias("draw"), passage.alias("text")).limit(4 * SAMPLE_ROWS * len(counts)).collect()
+    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(draw, F.lit(1 << 20)) < F.col("share")).select("lang", draw.alias("draw"), passage.alias("text"))
+    # repeated rows are drawn alike; Spark limits each language before it is shuffled
+    first = Window.partitionBy("lang").orderBy("draw", "text")
+    chosen = chosen.withColumn("n", F.row_number().over(first)).where(F.col("n") <= 4 * SAMPLE_ROWS).collect()
     own: dict[str, list[str]] = {r["lang"]: [] for r in counts}
     for r in sorted(chosen, key=lambda r: (r["draw"], r["text"])):
         own[r["lang"]].append(r["text"])
@@ -189,7 +269,7 @@ def training_sample(rows: DataFrame) -> tuple[tuple[str, str], ...]:
 
 
 def identify(docs: DataFrame, learn: Column, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", keep: list[str] | None = None) -> DataFrame:
-    """doc_id, lang_pred and score of every document; and the columns of docs named in keep.
+    """doc_id, lang_pred and score of every document; and the columns of docs named in keep, whatever their names.
 
     learn: which rows may be learnt from (null: no). lang_pred is und, with score 0, where the
     text is null or has no letter, and if nothing could be learnt. score: how much
@@ -200,14 +280,17 @@ def identify(docs: DataFrame, learn: Column, id_column: str = "doc_id", text_col
     known = docs.where(learn & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(id_column).alias("key"), F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang"))
     samples = training_sample(known)
     columns = list(keep or [])
-    rows = docs.select(F.col(id_column).alias("doc_id"), *columns, F.col(text_column).cast("string").alias("__text"))
+    text = "text"
+    while text in columns:
+        text += "_"
+    rows = docs.select(F.col(id_column).alias("doc_id"), *columns, F.col(text_column).cast("string").alias(text))
 
     def guess(batches):
         parts = model(samples) if samples else None
         names = np.array([k for k, _ in samples] or ["und"])
         for batch in batches:
-            for b in slices(batch, "__text", 2 << 20):
-                texts = [t or "" for t in b.column("__text").to_pylist()]
+            for b in slices(batch, text, 2 << 20):
+                texts = [t or "" for t in b.column(text).to_pylist()]
                 best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
                 letters = np.fromiter((any(map(str.isalpha, t)) for t in texts), bool, len(texts))
                 if parts and len(texts):
@@ -221,5 +304,5 @@ def identify(docs: DataFrame, learn: Column, id_column: str = "doc_id", text_col
                 real = letters & bool(parts)
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", *columns)], pa.array(np.where(real, names[best], "und").tolist(), pa.string()), pa.array(np.where(real, score, 0.0))], ["doc_id", *columns, "lang_pred", "score"])
 
-    schema = rows.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    schema = rows.drop(text).schema.add("lang_pred", "string").add("score", "double")
     return rows.mapInArrow(guess, schema)

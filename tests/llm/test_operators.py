@@ -408,10 +408,35 @@ def phrases_by_hand(text, sample):
     return n
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.text("abc ", max_size=40), min_size=1, max_size=4), st.text("ab ", min_size=1, max_size=30))
-def test_cross_parsing(texts, sample):
-    check_cross_parsing(texts, sample)
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("abc ", max_size=60), min_size=1, max_size=4), st.text("ab ", min_size=1, max_size=30), st.sampled_from([1, 2, 3, 7, 512]))
+def test_cross_parsing(texts, sample, block):
+    """Phrases of whole texts, whatever the blocks that they are read in."""
+    old, language_id.BLOCK = language_id.BLOCK, block
+    try:
+        check_cross_parsing(texts, sample)
+    finally:
+        language_id.BLOCK = old
+
+
+def test_cross_parsing_of_a_long_copy():
+    """Phrases longer than blocks: a text that is the sample, and one that holds it many times."""
+    rng = np.random.RandomState(8)
+    sample = "".join(rng.choice(list("abcd "), 3000))
+    check_cross_parsing([sample, "x" + sample[100:] + sample[:2500] * 3, "abcd" * 500, ""], sample)
+
+
+def test_cross_parsing_where_blocks_never_meet(monkeypatch):
+    """Phrases of three letters in blocks of four or of 512: every block's own parse begins elsewhere, up to the text's end."""
+    sample = "aaa b"
+    check_cross_parsing(["a" * 5_000, "b" + "a" * 4_001 + " b" * 9 + "a" * 3_000, "aab" * 900], sample)
+    monkeypatch.setattr(language_id, "BLOCK", 4)
+    check_cross_parsing(["a" * 500, "b" + "a" * 401 + " b" * 9 + "a" * 300, "aab" * 90], sample)
+    monkeypatch.undo()
+    begun = time.time()
+    parts = language_id.model((("x", sample),))
+    assert language_id.rates(["a" * 2_000_000], parts)[0, 0] == pytest.approx(666_667 * parts[2][0][2] / 2_000_000)
+    assert time.time() - begun < 60
 
 
 def check_cross_parsing(texts, sample):
