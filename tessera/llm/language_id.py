@@ -9,8 +9,8 @@ A text is parsed whole. So that many steps are taken at once, it is read in bloc
 from its own start at first; the phrase that reaches into a block then goes on there, phrase by phrase, until one begins
 where one of the block's own did, from where on both parses are the same. That gives the parse of the whole text.
 Texts in which the two parses do not meet (short passages repeated over and over) are finished block after block,
-so that time is in proportion to the text there as well. An automaton is a hash table of
-next states by state and letter, built once in every Python worker from the sample, which
+so that time is in proportion to the text there as well. An automaton is a table of next states by state and letter,
+hashed where the languages' whole tables would be large, built once in every Python worker from the sample, which
 alone is sent to the executors.
 """
 
@@ -26,14 +26,16 @@ from tessera.llm._common import slices
 #: The sample of each language: rows (about), characters of a row, characters of all.
 SAMPLE_ROWS, ROW_CHARS, SAMPLE_CHARS = 400, 300, 30_000
 BLOCK = 512
-#: Rounds in which all blocks whose first phrase has changed are parsed again at once.
-ROUNDS = 4
+#: Rounds in which all blocks whose first phrase has changed are parsed again at once, while there are no fewer than FEW.
+ROUNDS, FEW = 3, 16
 #: Classes: all that is no letter, letters that no sample holds, and from 2 on each letter of the samples.
 _SPACE, _OTHER = 0, 1
 _CODES = 0x30000
 #: Bits of an entry of the hash table: the next state's (2 x SAMPLE_CHARS states at most), the letter's.
 _STATE_BITS, _CLASS_BITS = 20, 18
 _EMPTY = np.uint64(2**64 - 1)
+#: Entries, of four bytes, that the whole tables of all languages may have; larger ones are hashed, which takes longer.
+WHOLE = 1 << 24
 _built: dict[tuple, tuple] = {}
 
 
@@ -48,15 +50,27 @@ def folded() -> np.ndarray:
 
 
 class Automaton:
-    """The suffix automaton of a text. root: by class, the state that follows the first one; slots: state, class and next state, hashed by the first two."""
+    """The suffix automaton of a text.
 
-    def __init__(self, nexts: list[dict[int, int]], classes: int):
-        self.states = len(nexts)
-        self.root = np.zeros(classes, np.int64)
+    own: by letter, its class here (SPACE, OTHER: not in the text, and from 2 on those of the text). root: by class, the
+    state that follows the first one. whole: by state and class, the next state or 0; or, if that is
+    None, slots: state, class and next state, hashed by the first two.
+    """
+
+    def __init__(self, nexts: list[dict[int, int]], own: np.ndarray, whole: int):
+        self.states, self.own, self.classes = len(nexts), own, int(own.max()) + 1
+        self.root = np.zeros(self.classes, np.int64)
         for c, s in nexts[0].items():
             self.root[c] = s
-        keys = np.array([s << _CLASS_BITS | c for s, own in enumerate(nexts) for c in own] or [0], np.uint64)
-        to = np.array([t for own in nexts for t in own.values()] or [0], np.uint64)
+        state = np.array([s for s, next_ in enumerate(nexts) for _ in next_], np.uint64)
+        letter = np.array([c for next_ in nexts for c in next_], np.uint64)
+        to = np.array([t for next_ in nexts for t in next_.values()], np.uint64)
+        self.whole = None
+        if self.states * self.classes <= whole:
+            self.whole = np.zeros(self.states * self.classes, np.int32)
+            self.whole[state * np.uint64(self.classes) + letter] = to
+            return
+        keys = state << _CLASS_BITS | letter
         self.bits = max(4, int(3 * len(keys)).bit_length())
         self.slots = np.full(1 << self.bits, _EMPTY)
         place, waiting = self.place(keys), np.arange(len(keys))
@@ -74,36 +88,48 @@ class Automaton:
     def place(self, keys: np.ndarray) -> np.ndarray:
         return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def step(self, state: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The next states, and whether the characters begin phrases: those at state 0 do, and those without a next state; an unknown character is a phrase of its own."""
+    def next(self, state: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """The next states, 0 where there is none."""
+        if self.whole is not None:
+            return self.whole[state * self.classes + classes].astype(np.int64)
         keys = state.astype(np.uint64) << _CLASS_BITS | classes.astype(np.uint64)
         place = self.place(keys)
         found = self.slots[place]
-        to = (found & np.uint64((1 << _STATE_BITS) - 1)).astype(np.int64)
-        hit = found >> _STATE_BITS == keys
-        on = np.flatnonzero(~hit & (found != _EMPTY))
+        to = np.where(found >> _STATE_BITS == keys, (found & np.uint64((1 << _STATE_BITS) - 1)).astype(np.int64), 0)
+        on = np.flatnonzero((to == 0) & (found != _EMPTY))
         while len(on):  # another key's slot: the next one
             place[on] = place[on] + 1 & (1 << self.bits) - 1
             found = self.slots[place[on]]
             same = found >> _STATE_BITS == keys[on]
-            hit[on[same]] = True
             to[on[same]] = (found[same] & np.uint64((1 << _STATE_BITS) - 1)).astype(np.int64)
             on = on[~same & (found != _EMPTY)]
-        return np.where(hit, to, self.root[classes]), ~hit | (state == 0)
+        return to
+
+    def step(self, state: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and whether the characters begin phrases: those at state 0 do, and those without a next state; a character that is not in the text is a phrase of its own."""
+        to = self.next(state, classes)
+        return np.where(to > 0, to, self.root[classes]), (to == 0) | (state == 0)
 
     def step_one(self, state: int, c: int) -> tuple[int, bool]:
         """step() of one state and one class, without arrays."""
-        key = state << _CLASS_BITS | c
-        place = (key * 0x9E3779B97F4A7C15 & 2**64 - 1) >> 64 - self.bits
-        while (found := self.slots.item(place)) != 2**64 - 1:
-            if found >> _STATE_BITS == key:
-                return found & (1 << _STATE_BITS) - 1, state == 0
-            place = place + 1 & (1 << self.bits) - 1
-        return self.root.item(c), True
-
-
-def automaton(classes: np.ndarray, n: int) -> Automaton:
-    """The suffix automaton of a text of n classes."""
+        to = 0
+        if self.whole is not None:
+            to = self.whole.item(state * self.classes + c)
+        else:
+            key = state << _CLASS_BITS | c
+            place = (key * 0x9E3779B97F4A7C15 & 2**64 - 1) >> 64 - self.bits
+            while (found := self.slots.item(place)) != 2**64 - 1 and not to:
+                if found >> _STATE_BITS == key:
+                    to = found & (1 << _STATE_BITS) - 1
+                place = place + 1 & (1 << self.bits) - 1
+        return to or self.root.item(c), not (to and state)
+
+
+def automaton(classes: np.ndarray, n: int, whole: int) -> Automaton:
+    """The suffix automaton of a text; n: letters that are told apart in all texts; whole: entries that a whole table may have."""
+    own, letters = np.full(n, _OTHER, np.int32), np.unique(classes[classes > _OTHER])
+    own[_SPACE], own[letters] = _SPACE, np.arange(len(letters)) + 2
+    classes = own[classes]
     nexts, link, length, last = [{}], [-1], [0], 0
     for c in classes.tolist():
         cur = len(nexts)
@@ -128,7 +154,7 @@ def automaton(classes: np.ndarray, n: int) -> Automaton:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    return Automaton(nexts, n)
+    return Automaton(nexts, own, whole)
 
 
 def classes_of(texts: list[str], fold: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +179,7 @@ def model(samples: tuple[tuple[str, str], ...]) -> tuple:
         tables = []
         for language, text in samples:
             classes, _ = classes_of([text], fold, number)
-            tables.append((language, automaton(classes, len(letters) + 2), np.log2(max(2, len(classes)))))
+            tables.append((language, automaton(classes, len(letters) + 2, WHOLE // len(samples)), np.log2(max(2, len(classes)))))
         _built.clear()
         _built[samples] = fold, number, tables
     return _built[samples]
@@ -196,6 +222,7 @@ def phrases(classes: np.ndarray, starts: np.ndarray, table: Automaton) -> np.nda
     blocks = Blocks(starts)
     if not len(blocks.of):
         return np.zeros(len(starts) - 1)
+    classes = table.own[classes]
     begins, own_ends = parse_blocks(classes, blocks, table)
     before = np.concatenate(([0], np.cumsum(begins)))  # own phrases that begin before each character
     count, ends = before[blocks.end] - before[blocks.begin], own_ends.copy()
@@ -208,7 +235,7 @@ def phrases(classes: np.ndarray, starts: np.ndarray, table: Automaton) -> np.nda
         count[todo] = 0
         lanes = todo[entry[todo] < blocks.end[todo]]
         at, state = entry[lanes], np.zeros(len(lanes), np.int64)
-        while len(lanes):
+        while len(lanes) >= FEW:
             state, new = table.step(state, classes[at])
             behind, met = new & (at >= blocks.end[lanes]), new & (at < blocks.end[lanes]) & begins[at]
             count[lanes[met]] += before[blocks.end[lanes[met]]] - before[at[met]]
@@ -219,6 +246,7 @@ def phrases(classes: np.ndarray, starts: np.ndarray, table: Automaton) -> np.nda
             ends[lanes[last]] = blocks.stop[lanes[last]]
             on = ~met & ~behind & ~last
             lanes, state, at = lanes[on], state[on], at[on] + 1
+        entry[lanes] = -1  # not done
     for k in np.flatnonzero(~blocks.first & (np.concatenate(([0], ends[:-1])) != entry)).tolist():
         while k < len(entry) and not blocks.first[k] and entry[k] != ends[k - 1]:
             entry[k] = ends[k - 1]

@@ -409,18 +409,24 @@ def phrases_by_hand(text, sample):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.text("abc ", max_size=60), min_size=1, max_size=4), st.text("ab ", min_size=1, max_size=30), st.sampled_from([1, 2, 3, 7, 512]))
-def test_cross_parsing(texts, sample, block):
-    """Phrases of whole texts, whatever the blocks that they are read in."""
-    old, language_id.BLOCK = language_id.BLOCK, block
+@given(st.lists(st.text("abc ", max_size=60), min_size=1, max_size=4), st.text("ab ", min_size=1, max_size=30), st.sampled_from([1, 2, 3, 7, 512]), st.sampled_from([0, language_id.WHOLE]), st.sampled_from([1, 3, 16]))
+def test_cross_parsing(texts, sample, block, whole, few):
+    """Phrases of whole texts, whatever the blocks that they are read in, and the tables."""
+    old = language_id.BLOCK, language_id.WHOLE, language_id.FEW
+    language_id.BLOCK, language_id.WHOLE, language_id.FEW = block, whole, few
+    language_id._built.clear()
     try:
         check_cross_parsing(texts, sample)
     finally:
-        language_id.BLOCK = old
+        language_id.BLOCK, language_id.WHOLE, language_id.FEW = old
+        language_id._built.clear()
 
 
-def test_cross_parsing_of_a_long_copy():
+@pytest.mark.parametrize("whole", [0, language_id.WHOLE])
+def test_cross_parsing_of_a_long_copy(monkeypatch, whole):
     """Phrases longer than blocks: a text that is the sample, and one that holds it many times."""
+    monkeypatch.setattr(language_id, "WHOLE", whole)
+    monkeypatch.setattr(language_id, "_built", {})
     rng = np.random.RandomState(8)
     sample = "".join(rng.choice(list("abcd "), 3000))
     check_cross_parsing([sample, "x" + sample[100:] + sample[:2500] * 3, "abcd" * 500, ""], sample)
