@@ -41,26 +41,26 @@ def batch_pipeline(spark, d):
     return files.batches(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), double, "o_orderkey bigint, twice double")
 
 
-def _database(spark, name: str, **options: str) -> federation.JdbcSource:
-    """The database that Spark brings along, in the memory of this process: for sessions on one machine."""
-    own = {"url": f"jdbc:derby:memory:{name};create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver", "tables_query": "SELECT tablename FROM sys.systables WHERE tabletype = 'T'"}
+def _database(url: str, name: str, **options: str) -> federation.JdbcSource:
+    """A database of _stored()."""
+    own = {"url": url, "driver": "org.apache.derby.jdbc.EmbeddedDriver", "tables_query": "SELECT tablename FROM sys.systables WHERE tabletype = 'T'"}
     return federation.JdbcSource("jdbc", name, own | options)
 
 
-def _stored(spark, d, name: str) -> None:
-    writer = lambda df, t, types: df.write.mode("overwrite").option("driver", "org.apache.derby.jdbc.EmbeddedDriver").option("createTableColumnTypes", types).jdbc(f"jdbc:derby:memory:{name};create=true", t)
-    writer(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), "SUPPLIER", "s_name VARCHAR(64)")
-    writer(table(spark, d, "nation"), "NATION", "n_name VARCHAR(64)")
+def _stored(spark, d, name: str) -> str:
+    """The URL of a database, of the kind that Spark brings along, with the tables supplier and nation, which all executors read at once."""
+    return federation.packed(spark, workspace(spark), name, {"SUPPLIER": table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), "NATION": table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")})
 
 
 @query("SELECT n_name, COUNT(*) AS suppliers, MAX(s_acctbal) AS top FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 1000 GROUP BY n_name")
 def jdbc_federated_join(spark, d):
     """Tables of a database as views, one read in parallel by key; the filter and the columns go to the database."""
-    _stored(spark, d, "federated")
+    url = _stored(spark, d, "federated")
     registry = federation.Registry()
-    registry.register(_database(spark, "federated"))
+    registry.register(_database(url, "federated"))
     registry.create_views(spark)
-    whole = _database(spark, "federated", partitionColumn="s_suppkey", lowerBound="1", upperBound="1000", numPartitions="4").read(spark, "SUPPLIER")
+    low, high = spark.table("jdbc_federated__SUPPLIER").agg(F.coalesce(F.min("s_suppkey"), F.lit(0)), F.coalesce(F.max("s_suppkey"), F.lit(0))).first()
+    whole = _database(url, "federated", partitionColumn="s_suppkey", lowerBound=str(low), upperBound=str(max(high, low + 4)), numPartitions="4").read(spark, "SUPPLIER")
     asked = whole.where("s_acctbal > 1000").select("s_nationkey", "s_acctbal")
     plan = asked._jdf.queryExecution().executedPlan().toString()
     if "PushedFilters: [*" not in plan and "PushedPredicates: [" not in plan or asked.rdd.getNumPartitions() != 4:
@@ -71,8 +71,8 @@ def jdbc_federated_join(spark, d):
 @query("SELECT s_nationkey, COUNT(*) AS n, MIN(s_acctbal) AS low FROM supplier GROUP BY s_nationkey")
 def jdbc_pushed_aggregate(spark, d):
     """An aggregate that the database computes."""
-    _stored(spark, d, "aggregated")
-    out = _database(spark, "aggregated").read(spark, "SUPPLIER").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"), F.min("s_acctbal").alias("low"))
+    url = _stored(spark, d, "aggregated")
+    out = _database(url, "aggregated").read(spark, "SUPPLIER").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"), F.min("s_acctbal").alias("low"))
     return out
 
 
@@ -82,8 +82,8 @@ _COLUMNS = [("NATION", "n_name", "Utf8"), ("NATION", "n_nationkey", "Int32"), ("
 @query(_values(_COLUMNS, "table", "column", "type"))
 def schema_discovery(spark, d):
     """The columns of a database's tables; a source that is down does not hide them."""
-    _stored(spark, d, "discovered")
-    rows, errors = federation.discover(spark, [_database(spark, "discovered"), federation.FileSource("s3", "gone", {"path": f"{workspace(spark)}/nowhere"})])
+    url = _stored(spark, d, "discovered")
+    rows, errors = federation.discover(spark, [_database(url, "discovered"), federation.FileSource("s3", "gone", {"path": f"{workspace(spark)}/nowhere"})])
     if list(errors) != ["s3_gone"]:
         raise AssertionError(errors)
     return spark.createDataFrame([(t, c, k) for _, t, c, k, _, _ in rows], "table string, column string, type string")

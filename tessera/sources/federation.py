@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+import shutil
+import zipfile
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.types import schema_of
@@ -88,6 +92,50 @@ class JdbcSource(Source):
         return [r[0] for r in self._reader(spark).option("query", own or "SELECT table_name FROM information_schema.tables WHERE table_schema NOT IN ('pg_catalog', 'information_schema')").load().collect()]
 
 
+#: Derby's type of a column, by Spark's.
+DERBY_TYPES = {"boolean": "BOOLEAN", "tinyint": "SMALLINT", "smallint": "SMALLINT", "int": "INTEGER", "bigint": "BIGINT", "float": "REAL", "double": "DOUBLE", "string": "VARCHAR(32672)", "date": "DATE"}
+
+
+def packed(spark: SparkSession, folder: str, name: str, tables: dict[str, DataFrame]) -> str:
+    """Writes tables to an embedded Derby database in a new folder that all machines see under one path, and returns its URL, for reading only.
+
+    An open Derby database belongs to one process, so one in a driver's memory or folder is not there for executors. Packed
+    into an archive it can't be written, and any number of processes may open it. Tasks write the rows as text, and the driver's
+    database imports them file by file, so no process holds a table.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    place = store.resolvePath(path).toUri()
+    if place.getScheme() != "file":
+        raise RuntimeError(f"an embedded database needs a folder of the machines' file system, not {place}")
+    root, built = place.getPath(), f"{place.getPath()}/{name}"
+    connection = jvm.org.apache.derby.jdbc.EmbeddedDriver().connect(f"jdbc:derby:{built};create=true", jvm.java.util.Properties())
+    try:
+        statement = connection.createStatement()
+        for t, df in tables.items():
+            statement.execute(f'CREATE TABLE "{t}" ({", ".join(f'"{c}" {DERBY_TYPES[k]}' for c, k in df.dtypes)})')
+            df.write.option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"file://{root}/rows/{t}")
+            for part in sorted(Path(f"{root}/rows/{t}").glob("part-*.csv")):
+                statement.execute(f"CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, '{t}', '{part}', ',', '\"', 'UTF-8', 0)")
+        statement.close()
+    finally:
+        connection.close()
+        try:
+            jvm.org.apache.derby.jdbc.EmbeddedDriver().connect(f"jdbc:derby:{built};shutdown=true", jvm.java.util.Properties())
+        except Py4JJavaError as e:  # a shutdown that works is told as an error
+            if e.java_exception.getSQLState() != "08006":
+                raise
+    with zipfile.ZipFile(f"{root}/{name}.jar", "w", zipfile.ZIP_STORED) as archive:  # stored as they are, pages are found without reading what stands before them
+        for file in sorted(Path(built).rglob("*")):
+            if file.is_file() and file.suffix != ".lck":
+                archive.write(file, f"{name}/{file.relative_to(built)}")
+    shutil.rmtree(built)
+    shutil.rmtree(f"{root}/rows")
+    return f"jdbc:derby:jar:({root}/{name}.jar){name}"
+
+
 class FileSource(Source):
     """A bucket or folder of Parquet, CSV or JSON: a table is a folder or a file, and options["path"] the root."""
 

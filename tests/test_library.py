@@ -293,7 +293,7 @@ def test_large_lineage_graphs(spark, monkeypatch):
 def test_evolution(spark, tmp_path):
     assert evolution.overall([]) == evolution.FULL and evolution.overall([evolution.FULL]) == evolution.BACKWARD
     assert evolution.grade("type_changed", "Int32", "Int64") == evolution.BACKWARD and evolution.grade("type_changed", "Int32", "UInt64") == evolution.INCOMPATIBLE
-    assert not evolution.compatible("FULL", evolution.FULL, evolution.INCOMPATIBLE) and evolution.compatible("NONE", evolution.INCOMPATIBLE, evolution.INCOMPATIBLE)
+    assert not evolution.compatible("FULL", evolution.FULL, evolution.INCOMPATIBLE) and evolution.compatible("HOLLOW", evolution.INCOMPATIBLE, evolution.INCOMPATIBLE)
     scan = evolution.IncrementalScan(spark, str(tmp_path / "seen.json"))
     first = evolution.discovered(spark, {"t": spark.range(1)})
     assert [c["change"] for c in scan.run(first)[0]] == ["table_added"]
@@ -399,3 +399,15 @@ def test_stream_failure_modes(spark, tmp_path):
         ingest.ingest(source(), ingest.Target(str(tmp_path / "o2")), str(tmp_path / "c2"), None, fail).awaitTermination()
     row = spark.sql("SELECT X'000000000741' AS v, X'01' AS w").select(*ingest.unframed(F.col("v")), *ingest.unframed(F.col("w"))).first()
     assert row[0] == 7 and bytes(row[1]) == b"A" and row[2] is None
+
+
+def test_packed_databases(spark, tmp_path):
+    """Any text comes back as it was, tables without rows too, and what is packed can't be written."""
+    rows = [(1, 'a "b", \\ c', -0.1), (2, "", None), (None, " x\ny ", 1e300), (4, None, 0.0), (5, "é\u4e2d\U0001f600", 5e-324)]
+    given = spark.createDataFrame(rows, "k bigint, s string, d double")
+    url = federation.packed(spark, str(tmp_path / "db"), "own", {"T": given.repartition(3), "HOLLOW": given.limit(0)})
+    source = federation.JdbcSource("jdbc", "own", {"url": url, "driver": "org.apache.derby.jdbc.EmbeddedDriver", "tables_query": "SELECT tablename FROM sys.systables WHERE tabletype = 'T'"})
+    assert sorted(source.tables(spark)) == ["HOLLOW", "T"]
+    assert set(map(tuple, source.read(spark, "T").collect())) == set(rows) and source.read(spark, "HOLLOW").count() == 0
+    with pytest.raises(Exception, match="(?i)read.?only"):
+        given.write.mode("append").option("driver", "org.apache.derby.jdbc.EmbeddedDriver").jdbc(url, "T")
