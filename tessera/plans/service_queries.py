@@ -72,7 +72,10 @@ def jdbc_federated_join(spark, d):
 def jdbc_pushed_aggregate(spark, d):
     """An aggregate that the database computes."""
     url = _stored(spark, d, "aggregated")
-    out = _database(url, "aggregated").read(spark, "SUPPLIER").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"), F.min("s_acctbal").alias("low"))
+    out = spark.table(f"{_database(url, 'aggregated').catalog(spark)}.APP.SUPPLIER").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"), F.min("s_acctbal").alias("low"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    if "PushedAggregates: [COUNT" not in plan:
+        raise AssertionError(f"not pushed to the database: {plan}")
     return out
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import shutil
 import zipfile
+import zlib
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -78,7 +79,7 @@ class Source:
 
 
 class JdbcSource(Source):
-    """Spark's JDBC reader, which pushes filters, columns, limits and aggregates to the database. Reads in parallel if options have partitionColumn, lowerBound, upperBound and numPartitions."""
+    """Spark's JDBC reader, which pushes filters and columns to the database, and, by catalog(), limits and aggregates. Reads in parallel if options have partitionColumn, lowerBound, upperBound and numPartitions."""
 
     def _reader(self, spark: SparkSession):
         own = {k: v for k, v in self.options.items() if k not in ("host", "port", "url", "tables_query")}
@@ -87,6 +88,14 @@ class JdbcSource(Source):
     def read(self, spark: SparkSession, table: str) -> DataFrame:
         return self._reader(spark).option("dbtable", table).load()
 
+    def catalog(self, spark: SparkSession) -> str:
+        """The name of the database as a catalog of the session: what is read as <name>.<schema>.<table> has limits and aggregates pushed too."""
+        name = f"{self.prefix}_{zlib.crc32(self.url().encode()):08x}"  # a session keeps a catalog as it was first named
+        own = {k: v for k, v in self.options.items() if k not in ("host", "port", "url", "tables_query")}
+        for k, v in {"": "org.apache.spark.sql.execution.datasources.v2.jdbc.JDBCTableCatalog", "url": self.url(), "pushDownPredicate": "true", "pushDownAggregate": "true", "pushDownLimit": "true", **own}.items():
+            spark.conf.set(f"spark.sql.catalog.{name}" + (f".{k}" if k else ""), v)
+        return name
+
     def tables(self, spark: SparkSession) -> list[str]:
         own = self.options.get("tables_query")  # where the catalog is not the standard's
         return [r[0] for r in self._reader(spark).option("query", own or "SELECT table_name FROM information_schema.tables WHERE table_schema NOT IN ('pg_catalog', 'information_schema')").load().collect()]

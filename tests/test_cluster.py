@@ -28,7 +28,7 @@ for name in sys.argv[3:]:
 print("RESULT" + json.dumps(out))
 s.stop()
 """
-NAMES = ["jdbc_federated_join"]
+NAMES = ["jdbc_federated_join", "jdbc_pushed_aggregate"]
 
 
 @pytest.fixture(scope="module")

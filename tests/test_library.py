@@ -411,3 +411,5 @@ def test_packed_databases(spark, tmp_path):
     assert set(map(tuple, source.read(spark, "T").collect())) == set(rows) and source.read(spark, "HOLLOW").count() == 0
     with pytest.raises(Exception, match="(?i)read.?only"):
         given.write.mode("append").option("driver", "org.apache.derby.jdbc.EmbeddedDriver").jdbc(url, "T")
+    counted = spark.table(f"{source.catalog(spark)}.APP.T").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    assert "PushedAggregates: [COUNT" in counted._jdf.queryExecution().executedPlan().toString() and counted.count() == 5
