@@ -28,7 +28,7 @@ for name in sys.argv[3:]:
 print("RESULT" + json.dumps(out))
 s.stop()
 """
-NAMES = ["jdbc_federated_join", "jdbc_pushed_aggregate"]
+NAMES = ["jdbc_federated_join", "jdbc_pushed_aggregate", "schema_discovery"]
 
 
 @pytest.fixture(scope="module")
