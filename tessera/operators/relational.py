@@ -61,6 +61,20 @@ def theta_join(left: DataFrame, right: DataFrame, condition: Column | None, how:
     return left.crossJoin(right) if condition is None else left.join(right, condition, how)
 
 
+def lateral_aggregate(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], residual: Column, calls: dict[str, tuple[str, str]]) -> DataFrame:
+    """The left rows, each with aggregates by name, (function, column), over the right rows that meet it; * counts rows.
+
+    One equi-join on the pairs of columns, by sorting, as the size of well compressed files says little of the rows that a
+    broadcast would hold. Spark's own plan of a LATERAL aggregate whose condition has more than equalities meets each
+    different left value with every right row.
+    """
+    each = left.groupBy(*left.columns).agg(F.count(F.lit(1)).alias("__copies"))
+    met = join(each, right.withColumn("__met", F.lit(1)).hint("merge"), on, "left", residual)
+    makers = {"sum": F.sum, "count": F.count, "avg": F.avg, "min": F.min, "max": F.max}
+    found = met.groupBy(*each.columns).agg(*[makers[f]("__met" if c == "*" else c).alias(name) for name, (f, c) in calls.items()])
+    return found.withColumn("__copies", F.explode(F.sequence(F.lit(1).cast("bigint"), "__copies"))).drop("__copies")
+
+
 def sort(df: DataFrame, keys: list[tuple[str, bool] | tuple[str, bool, bool]]) -> DataFrame:
     """By (column, ascending, nulls first); left out, nulls are last going up and first going down."""
     order = []

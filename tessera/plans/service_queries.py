@@ -152,8 +152,8 @@ def join_range(spark, d):
 
 @query("SELECT c_custkey, t.n, t.top FROM customer, LATERAL (SELECT COUNT(*) AS n, MAX(o_totalprice) AS top FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 10 * c_acctbal) t")
 def join_lateral(spark, d):
-    views(spark, d, "customer", "orders")
-    return spark.sql("SELECT c_custkey, t.n, t.top FROM customer, LATERAL (SELECT COUNT(*) AS n, MAX(o_totalprice) AS top FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 10 * c_acctbal) t")
+    customers, orders = table(spark, d, "customer").select("c_custkey", "c_acctbal"), table(spark, d, "orders").select("o_custkey", "o_totalprice")
+    return relational.lateral_aggregate(customers, orders, [("c_custkey", "o_custkey")], F.col("o_totalprice") > 10 * F.col("c_acctbal"), {"n": ("count", "*"), "top": ("max", "o_totalprice")}).select("c_custkey", "n", "top")
 
 
 @query("SELECT c_custkey AS k, c_acctbal AS v FROM customer UNION ALL SELECT s_suppkey, s_acctbal FROM supplier")

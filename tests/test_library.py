@@ -56,6 +56,14 @@ def test_null_keys_never_meet_and_residual_stays_inside(nulls):
     assert rows.count() == 3 + 4
 
 
+def test_lateral_aggregates(spark):
+    left = spark.createDataFrame([(1, 0.0), (1, 0.0), (1, 2.0), (2, 9.0), (3, 0.0), (4, None), (None, 0.0)], "k int, low double")
+    right = spark.createDataFrame([(1, 1.0), (1, 3.0), (1, None), (2, 3.0), (4, 1.0), (None, 1.0)], "j int, x double")
+    found = relational.lateral_aggregate(left, right, [("k", "j")], F.col("x") > F.col("low"), {"n": ("count", "*"), "top": ("max", "x")})
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [(1, 0.0, 2, 3.0), (1, 0.0, 2, 3.0), (1, 2.0, 1, 3.0), (2, 9.0, 0, None), (3, 0.0, 0, None), (4, None, 0, None), (None, 0.0, 0, None)]))
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sort_page_project(nulls):
     assert [r.i for r in relational.sort(nulls, [("i", True)]).collect()] == [1, 3, 3, None, None]
     assert [r.i for r in relational.sort(nulls, [("i", False)]).collect()][:2] == [None, None]

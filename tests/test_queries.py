@@ -61,6 +61,10 @@ def test_no_python_on_relational_paths(spark, data):
         assert "Python" not in plan and "Arrow" not in plan, name
 
 
+def test_lateral_join_makes_no_cross_product(spark, data):
+    assert "NestedLoop" not in registry.QUERIES["join_lateral"](spark, data)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bloom_has_no_false_negatives(spark, data):
     from tessera.operators import indexes
 
