@@ -65,6 +65,13 @@ def test_lateral_join_makes_no_cross_product(spark, data):
     assert "NestedLoop" not in registry.QUERIES["join_lateral"](spark, data)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_sketches_are_not_kept_by_value(spark, data, tmp_path):
+    plan = registry.QUERIES["agg_approx_distinct"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "approx_count_distinct" in x and "event_id" in x.split("functions=")[0]], plan
+    spark.createDataFrame([("a", None), ("b", 1), ("b", 1), (None, 2)], "event_type string, event_id bigint").write.parquet(f"{tmp_path}/events.parquet")
+    assert {tuple(r) for r in registry.QUERIES["agg_approx_distinct"](spark, str(tmp_path)).collect()} == {("a", True), ("b", True), (None, True)}
+
+
 def test_bloom_has_no_false_negatives(spark, data):
     from tessera.operators import indexes
 
