@@ -405,7 +405,7 @@ def anon_policies(spark, d):
 @query("SELECT 'text' AS \"column\", 'License' AS category, COUNT(*) FILTER (WHERE contains(text, 'icense')) AS matches FROM documents")
 def pii_custom_rules(spark, d):
     rules = (pii.CustomRule("broken", "License", "("), pii.CustomRule("license", "License", "icense"))
-    return pii.classify(table(spark, d, "documents").select("text"), custom=rules, least=0.0).where("category = 'License'").select("column", "category", "matches")
+    return pii.classify(table(spark, d, "documents").select("text"), custom=rules, least=0.0, categories=("License",)).select("column", "category", "matches")
 
 
 _STATES = [("approved", "Expired"), ("rejected", "Rejected"), ("revoked", "Revoked"), ("waiting", "PendingApproval")]

@@ -237,6 +237,21 @@ def test_pii(spark):
     assert 0 < pii.score("CreditCard", pii.features(cards, "credit_card").first().asDict(), "credit_card") < 1
 
 
+def test_pii_of_some_categories_only(spark):
+    """Those asked for are as among all others, whose patterns are not run."""
+    texts = ["123-45-6789", "000-12-3456", "x 4111 1111 1111 1111", "4111111111111111", "555-123-4567", "12345678", "a@b.co", "@", "-", "eyJa.eyJb.c", "eyJ", "", None]
+    rows, custom = spark.createDataFrame([(t, t) for t in texts], "card_number string, s string"), (pii.CustomRule("x", "Own", "^x"), pii.CustomRule("y", "SSN", "^a@"))
+    every = {tuple(r) for r in pii.classify(rows, custom=custom, least=0.0).collect()}
+    counts = {k: rows.where(F.col("s").rlike(p) & (v(F.col("s")) if v else F.lit(True))).count() for k, (_, p, v) in pii.CATEGORIES.items()}
+    counts["SSN"] = max(counts["SSN"], 1)
+    assert {r[1]: r[4] for r in every if r[0] == "s"} == counts | {"Own": 1}
+    for asked in (("Own",), ("SSN", "JWTToken"), ("CreditCard", "Own"), ()):
+        found = pii.classify(rows, custom=custom, least=0.0, categories=asked)
+        assert {tuple(r) for r in found.collect()} == {r for r in every if r[1] in asked}
+    plan = pii.classify(rows, custom=custom, categories=("Own",))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 2, plan
+
+
 def test_pii_on_long_texts(spark):
     """Runs without end neither overflow Java's stack nor take time beyond proportion."""
     words, at = "12 " + "word " * 100_000, "a" * 300_000
