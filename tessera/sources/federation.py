@@ -6,12 +6,14 @@ import re
 import shutil
 import zipfile
 import zlib
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from pathlib import Path
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.util import inheritable_thread_target
 
 from tessera.types import schema_of
 
@@ -218,6 +220,12 @@ class Registry:
         return out
 
 
+def _as_caller(spark: SparkSession, f: Callable) -> Callable:
+    """f for one run in another thread, whose jobs have the local properties (group, pool, description) and tags that this thread's have."""
+    wrap = inheritable_thread_target(spark)
+    return f if wrap is spark else wrap(f)  # without pinned threads, the session itself comes back
+
+
 def discover(spark: SparkSession, sources: list[Source], parallel: int = 4) -> tuple[list[tuple[str, str, str, str, bool, int]], dict[str, str]]:
     """((source, table, column, type, nullable, place) of all sources' columns, errors by source)."""
 
@@ -226,9 +234,9 @@ def discover(spark: SparkSession, sources: list[Source], parallel: int = 4) -> t
 
     rows, errors = [], {}
     with ThreadPoolExecutor(parallel) as pool:
-        for s, job in [(s, pool.submit(one, s)) for s in sources]:
+        for s, job in [(s, pool.submit(_as_caller(spark, one), s)) for s in sources]:
             try:
                 rows += job.result()
             except Exception as e:  # a source that is down does not hide the others
-                errors[s.prefix] = str(e).splitlines()[0]
+                errors[s.prefix] = (str(e) or type(e).__name__).splitlines()[0]
     return rows, errors

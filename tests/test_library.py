@@ -407,6 +407,27 @@ def test_files_and_sources(spark, tmp_path, nulls):
     assert federation.JdbcSource("postgresql", "sales", {"host": "h"}).url() == "jdbc:postgresql://h:5432/sales"
 
 
+def test_discovery_runs_as_its_caller(spark, tmp_path):
+    """Jobs of the scans are in the caller's group, and an error without a text hides no source either."""
+
+    class Listed(federation.Source):
+        def tables(self, spark):
+            return [f"t{r[0]}" for r in spark.range(2).collect()]
+
+        def read(self, spark, table):
+            return spark.range(1)
+
+    sources = [Listed("jdbc", "a"), federation.Source("kafka", "b"), Listed("jdbc", "c")]
+    spark.sparkContext.setJobGroup("discovery", "the caller's")
+    try:
+        rows, errors = federation.discover(spark, sources)
+    finally:
+        for k in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            spark.sparkContext.setLocalProperty(k, None)
+    assert [r[:2] for r in rows] == [(s, t) for s in ("jdbc_a", "jdbc_c") for t in ("t0", "t1")] and errors == {"kafka_b": "NotImplementedError"}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("discovery")) == 2
+
+
 def test_stream_failure_modes(spark, tmp_path):
     spark.createDataFrame([('{"a": 1}',), ("nope",)], "value string").write.text(str(tmp_path / "in"))
     source = lambda: ingest.decoded(spark.readStream.schema("value string").text(str(tmp_path / "in")).withColumnRenamed("value", "raw"), "a int", "raw")

@@ -48,6 +48,30 @@ def test_entry(spark):
     assert 0 < __spark_entry__.entry(spark).count() <= 10
 
 
+def test_library_is_sent_once():
+    """A session takes no second file of a name; queries may start it at once, and the module may be loaded again in it."""
+    import importlib
+    import time
+    from concurrent.futures import ThreadPoolExecutor
+    from types import SimpleNamespace
+
+    import __spark_entry__
+
+    class Context:
+        applicationId, listFiles = "one", []
+
+        def addPyFile(self, path):
+            assert path.rpartition("/")[2] not in [f.rpartition("/")[2] for f in self.listFiles], "already registered with a different path"
+            self.listFiles.append(path)
+            time.sleep(0.2)
+
+    spark = SimpleNamespace(sparkContext=Context())
+    for _ in range(2):
+        run = importlib.reload(__spark_entry__)._importable(lambda s, d: len(s.sparkContext.listFiles))
+        with ThreadPoolExecutor(4) as pool:
+            assert list(pool.map(lambda _: run(spark, ""), range(4))) == [1] * 4
+
+
 def test_scans_are_pruned(spark, data):
     spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
     plan = registry.QUERIES["filter_comparisons"](spark, data)._jdf.queryExecution().executedPlan().toString()
