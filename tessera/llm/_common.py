@@ -7,6 +7,8 @@ import ctypes
 import gc
 import shutil
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that Python code takes at once.
 SLICE_BYTES = 4 << 20
+#: Bytes of a batch that Spark hands to Python; else only rows are counted, 10,000, however long.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +43,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside hands Python batches of SLICE_BYTES and a row at most, which both sides hold. A session's own setting stays."""
+    if spark.conf.get(BATCH_BYTES, None) is not None:
+        yield
+        return
+    spark.conf.set(BATCH_BYTES, str(SLICE_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_BYTES)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files and checkpoints of frames that are no longer referred to. Call it between the rounds of a loop: without a full collection they stay on disk until the driver's heap fills."""
     gc.collect()

@@ -30,19 +30,30 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import checkpointed, slices, words_of
+from tessera.llm._common import checkpointed, mix64, slices, small_batches, words_of
 
 #: More sources than this are leaves of so many queues' own trees, dealt by hash; so the plan of windows is small whatever the data.
 MAX_QUEUES = 1024
-#: Words whose ids a Python worker remembers, in arrays (about 30 bytes a word), bytes of text and new words encoded at once.
-CACHE_WORDS, ENCODE_BYTES, ENCODE_WORDS = 1_500_000, 8 << 20, 8192
+#: Words whose ids a Python worker remembers, in arrays (about 45 bytes a word), bytes of text and new words encoded at once, bytes of ids placed at once.
+#: An executor holds a worker for each core beside a full heap, and a slice takes about 20 times its bytes while it is encoded.
+CACHE_WORDS, ENCODE_BYTES, ENCODE_WORDS, PLACE_BYTES = 1_500_000, 4 << 20, 4096, 2 << 20
 _loaded: dict[str, "WordTokenizer"] = {}
 
 
+def spelled(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word from its bytes and their places. No word is empty."""
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    starts = ends[:-1] - ends[0]
+    place = np.arange(len(data)) - np.repeat(starts, np.diff(ends))
+    return np.add.reduceat(mix64(place.astype(np.uint64) << np.uint64(8) | data), starts)
+
+
 class WordTokenizer:
     """Ids of texts by a tokenizers file whose normalizer and pre-tokenizer never look across white space.
 
-    Each distinct word is encoded once and remembered; when there are too many, all are forgotten.
+    Each distinct word is encoded once and remembered, under a hash in a sorted array; when there are too many, all are forgotten.
+    Words that share a hash are told apart by their characters.
     """
 
     def __init__(self, path: str):
@@ -55,27 +66,35 @@ class WordTokenizer:
 
     def forget(self) -> None:
         self.words = pa.array([], pa.large_string())
+        self.hashes, self.place = np.empty(0, np.uint64), np.empty(0, np.int32)
         self.begin, self.ids = np.zeros(1, np.int64), np.empty(0, self.dtype)
 
     def places(self, words: pa.Array) -> np.ndarray:
         """Where self.begin has the words, of which new ones are encoded."""
-        at = pc.index_in(words, value_set=self.words)
-        new = words.filter(pc.is_null(at))
-        if not len(new):
-            return at.to_numpy(zero_copy_only=False)
-        if len(self.words) + len(new) > CACHE_WORDS and len(self.words):
+        hashes = spelled(words)
+        out, new = np.zeros(len(words), np.int64), np.ones(len(words), bool)
+        if len(self.words):
+            near = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            out = self.place[near].astype(np.int64)
+            new = ~((self.hashes[near] == hashes) & pc.equal(self.words.take(pa.array(out)), words).to_numpy(zero_copy_only=False))
+        if not new.any():
+            return out
+        added = words.filter(pa.array(new))
+        if len(self.words) + len(added) > CACHE_WORDS and len(self.words):
             self.forget()
             return self.places(words)
         known, sizes, ids = len(self.words), [], []
-        for i in range(0, len(new), ENCODE_WORDS):
-            own = [e.ids for e in self.tokenizer.encode_batch_fast(new.slice(i, ENCODE_WORDS).to_pylist(), add_special_tokens=False)]
+        for i in range(0, len(added), ENCODE_WORDS):
+            own = [e.ids for e in self.tokenizer.encode_batch_fast(added.slice(i, ENCODE_WORDS).to_pylist(), add_special_tokens=False)]
             sizes.append(np.fromiter(map(len, own), np.int64, len(own)))
             ids.append(np.fromiter(chain.from_iterable(own), self.dtype))
         self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(np.concatenate(sizes))))
         self.ids = np.concatenate((self.ids, *ids))
-        self.words = pa.concat_arrays([self.words, new])
-        out = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        out[pc.is_null(at).to_numpy(zero_copy_only=False)] = known + np.arange(len(new))
+        self.words = pa.concat_arrays([self.words, added])
+        out[new] = known + np.arange(len(added))
+        order = np.argsort(hashes[new], kind="stable")
+        at = np.searchsorted(self.hashes, hashes[new][order])
+        self.hashes, self.place = np.insert(self.hashes, at, hashes[new][order]), np.insert(self.place, at, out[new][order].astype(np.int32))
         return out
 
     @classmethod
@@ -270,7 +289,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
                 yield pa.RecordBatch.from_arrays([pa.array([part] * b.num_rows, pa.int32()), b.column("queue"), b.column("doc_id"), b.column("source"), pa.array(places), pa.array(n), stored], ["part", "queue", "doc_id", "source", "place", "n", "ids"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    tokens = checkpointed(rows.select("doc_id", "source", "queue", "text").mapInArrow(tokenize, f"part int, queue int, doc_id {kind}, source string, place bigint, n bigint, ids binary"))
+    with small_batches(spark):
+        tokens = checkpointed(rows.select("doc_id", "source", "queue", "text").mapInArrow(tokenize, f"part int, queue int, doc_id {kind}, source string, place bigint, n bigint, ids binary"))
     by_part = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = tokens.groupBy("part", "queue", "source").agg(F.sum("n").alias("n"))
     parts = checkpointed(parts.select("part", "queue", "source", "n", F.coalesce(F.sum("n").over(by_part), F.lit(0)).alias("before")))
@@ -291,15 +311,16 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
 
     def place(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for queue, doc, source, at, before, n, ids, path, total in zip(*(batch.column(c).to_pylist() for c in ("queue", "doc_id", "source", "place", "before", "n", "ids", "path", "total")), strict=True):
-                wide = np.frombuffer(ids, narrow).astype("<u4").tobytes()
-                for start, length, sequence, offset in pieces(phases, queue, at + before, n, [tuple(x.values()) for x in path or ()], total):
-                    own = wide[4 * start : 4 * (start + length)]
-                    for column, x in zip(out, (doc, start, length, n, sequence, offset, source, own), strict=True):
-                        column.append(x)
-            schema = [batch.schema.field("doc_id").type, *[pa.int64()] * 5, pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, schema, strict=True)], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "source", "ids"])
+            for b in slices(batch, "ids", PLACE_BYTES):
+                out: list[list] = [[] for _ in range(8)]
+                for queue, doc, source, at, before, n, ids, path, total in zip(*(b.column(c).to_pylist() for c in ("queue", "doc_id", "source", "place", "before", "n", "ids", "path", "total")), strict=True):
+                    wide = np.frombuffer(ids, narrow).astype("<u4").tobytes()
+                    for start, length, sequence, offset in pieces(phases, queue, at + before, n, [tuple(x.values()) for x in path or ()], total):
+                        own = wide[4 * start : 4 * (start + length)]
+                        for column, x in zip(out, (doc, start, length, n, sequence, offset, source, own), strict=True):
+                            column.append(x)
+                schema = [b.schema.field("doc_id").type, *[pa.int64()] * 5, pa.string(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, schema, strict=True)], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "source", "ids"])
 
     known = parts.select(F.col("part").alias("of_part"), F.col("source").alias("of"), "before")
     if many:
